@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -38,7 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
-_TABLE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+BYTE_HASH = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _grown: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -47,7 +47,7 @@ def _base_powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         have = (_powers(_BASE[kind], size), _powers(pow(_BASE[kind], -1, 1 << 64), size))
-        if size <= SLICE_BYTES + (1 << 20):
+        if size <= 4 << 20:
             _grown[kind] = have
     return have
 
@@ -94,6 +94,8 @@ class TextSlice:
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Number of set flags of the bytes of each text."""
+        if np.count_nonzero(flags) * 4 < len(flags):
+            return np.diff(np.searchsorted(np.flatnonzero(flags), self.offsets))
         sums = np.zeros(len(flags) + 1, np.int64)
         np.cumsum(flags, out=sums[1:])
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
@@ -141,7 +143,7 @@ class TextSlice:
 
     @cached_property
     def byte_sums(self) -> np.ndarray:
-        return prefix_sums(_TABLE[self.data], "byte")
+        return prefix_sums(BYTE_HASH[self.data], "byte")
 
     @cached_property
     def word_hash(self) -> np.ndarray:
@@ -171,3 +173,18 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         part = batch.slice(begin, end - begin)
         yield part, TextSlice(part.column(batch.schema.get_field_index(text)))
         total, begin = int(ends[end - 1]), end
+
+
+def grams(s: TextSlice, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (n up to 8) of bytes at every place of ``data``, packed into
+    integers, and which of them lie within one text."""
+    count = max(0, len(data) - n + 1)
+    packed = np.zeros(count, np.uint64 if n > 4 else np.uint32)
+    for j in range(n):
+        packed <<= packed.dtype.type(8)
+        packed |= data[j : j + count]
+    whole = np.ones(count, bool)
+    for k in range(1, n):
+        cut = s.offsets[1:] - k
+        whole[cut[(cut >= 0) & (cut < count)]] = False
+    return packed, whole
