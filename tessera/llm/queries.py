@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, personal_data, quality, sentencepieces, token_counts, toxicity, wavelet
+from . import decontamination, language_id, near_duplicates, personal_data, quality, repeated_phrases, sentencepieces, token_counts, toxicity, wavelet
 from .storage import shared_folder
 
 
@@ -40,10 +40,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", "held_out"), filters, keep=("held_out",))
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.remove(table(spark, sf_dir, "documents"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.scan(table(spark, sf_dir, "documents"))
 
@@ -64,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_repeated_phrases": op4_repeated_phrases,
     "op5_token_binary": op5_token_binary,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_personal_data": op7_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,

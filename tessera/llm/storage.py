@@ -7,6 +7,7 @@ missing, as in tests on one machine, a temporary folder stands in.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -36,3 +37,11 @@ def persist(df: DataFrame, name: str, **options: object) -> DataFrame:
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the JVM has collected what refers to
+    them; after a large step this asks for that, so disk isn't held until the
+    driver happens to run short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
