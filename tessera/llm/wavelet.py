@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -48,9 +48,9 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) ->
     parts = [ids.tobytes(), null.tobytes(), np.asarray(lengths, "<u4").tobytes()]
     row = tokens.astype(np.uint32 if bits > 16 else np.uint16)
     for b in range(bits - 1, -1, -1):
-        plane = (row >> b) & 1 == 1
+        plane = (row & row.dtype.type(1 << b)).astype(bool)
         parts.append(np.packbits(plane).tobytes())
-        row = np.concatenate([row[~plane], row[plane]])
+        row = np.concatenate([np.compress(~plane, row), np.compress(plane, row)])
     frames = [press.compress(p) for p in parts]
     return _HEAD.pack(MAGIC, bits, len(ids), len(tokens)) + struct.pack(f"<{len(frames)}Q", *map(len, frames)) + b"".join(frames)
 
@@ -155,8 +155,9 @@ class WordEncoder:
 
     Texts are cut at spaces, which such a tokenizer drops; known words come from
     a bounded memo.  A new word of characters below U+0300 without controls is
-    lower-cased and split by the tokenizer's own pattern, and the library's merge
-    model encodes the pieces; any other word goes through the whole library.
+    lower-cased and split by the tokenizer's own pattern (such characters are
+    composed already), and the library's merge model encodes the pieces; any
+    other word goes through the whole library.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -181,29 +182,37 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words, self.pieces = Memo(self._words), Memo(self._pieces)
+        self.words = Memo(self._words)
+        self.signs = {c: self._piece(c) for c in ".,;:!?\"()-"} if self.by_word else {}
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        shown, tokenize, out = self.shown, self.model.tokenize, []
-        for p in pieces:
-            spelled = p if p.isascii() else "".join([shown[b] for b in p.encode()])
-            out.append(np.array([t.id for t in tokenize(spelled)], "<u4").tobytes())
-        return out
+    def _piece(self, piece: str) -> bytes:
+        shown = self.shown
+        spelled = piece if piece.isascii() else "".join([shown[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        split: dict[str, list[str]] = {}
+        piece, signs, simple, out, rest = self._piece, self.signs, self.simple, [], []
         for w in words:
             low = w.lower()
-            if self.simple(w) and self.simple(low) and not any(x in w for x in self.special) and unicodedata.is_normalized("NFC", w):
-                split[w] = self.split(low)
-        self.pieces.learn(p for parts in split.values() for p in parts)
-        get = self.pieces.young.__getitem__
-        rest = [w for w in words if w not in split]
-        other = dict(zip(rest, self._library(rest), strict=True))
-        return [b"".join(map(get, split[w])) if w in split else other[w] for w in words]
+            if len(low) == len(w) and w and max(low) < "\u0250":
+                # Mostly a run of letters, or one and a sign: no pattern is needed to split those.
+                if w.isalpha():
+                    out.append(piece(low))
+                    continue
+                if w[-1] in signs and w[:-1].isalpha():
+                    out.append(piece(low[:-1]) + signs[w[-1]])
+                    continue
+            if simple(w) and simple(low) and not any(x in w for x in self.special):
+                out.append(b"".join([piece(p) for p in self.split(low)]))
+            else:
+                rest.append(len(out))
+                out.append(b"")
+        for i, ids in zip(rest, self._library([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
