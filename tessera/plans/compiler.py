@@ -161,9 +161,9 @@ class Compiler:
         for tag, a, b in pairs:
             if tag in ORDERED or tag == "BOOL" and op in ("=", "<>"):
                 found.append((a, b, op))
-            elif tag == "NULL" and op in ("=", "<>"):
-                both = self.operand(left).exists & self.operand(right).exists if not constant else a.isNotNull() if isinstance(left, Path) else b.isNotNull()
-                found.append((both, F.lit(op == "="), "="))
+            elif tag == "NULL" and op == "=":  # two of them are equal, never unequal
+                there = [c.isNotNull() for c, node in ((a, left), (b, right)) if not isinstance(node, Value)]
+                found.append((_all(there) if there else F.lit(True), F.lit(True), "="))
         if not found:
             return F.lit(negated)
         if not negated:
@@ -171,7 +171,7 @@ class Compiler:
             return _any([c if len(found) == 1 else F.coalesce(c, F.lit(False)) for c in out])
         if len(found) == 1 and constant:
             a, b, o = found[0]
-            if isinstance(left, Value):
+            if isinstance(left, Value) and not isinstance(right, Value):
                 a, b, o = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(o, o)
             return ~a.eqNullSafe(b) if o == "=" else a.isNull() | _APPLY[OPPOSITE[o]](a, b)
         return ~_any([F.coalesce(_APPLY[o](a, b), F.lit(False)) for a, b, o in found])
