@@ -4,14 +4,15 @@ A window is ``WINDOW`` consecutive words of a document.  A word goes if a window
 over it also starts, word for word, in a document with a smaller doc_id.
 
 1. Every window names its least gram of ``GRAM`` words, by hash.  Equal windows
-   name equal grams, and neighbours mostly the same one, so only about a fifth
+   name equal grams, and neighbours mostly the same one, so only about a quarter
    of the words give a row.  Grams that two different texts name are recurring.
-2. Runs of windows that name one recurring gram are cut out.  Their windows are
-   confirmed as recurring, with the least doc_id of each, by one aggregation.
-3. Shards of grams get their confirmed windows and runs.  A task compiles an
-   automaton over the words of the windows of its shard and streams the runs
-   through it; every occurrence after the first document is marked.  Shards that
-   many documents name are split by document, their windows repeated.
+2. Runs of windows that name one recurring gram are cut out and dealt to shards
+   of grams.  A task confirms which windows of a gram two documents have, for it
+   sees all of them; compiles an automaton over the words of the confirmed ones;
+   and streams the runs through it.  Every occurrence after the first document
+   is marked.
+3. A shard that too many runs name is split by document.  Its windows are
+   confirmed by an aggregation instead and go to all of its parts.
 4. Marks go back to their texts.  Exact copies of a text need none of this: all
    windows of a later copy start in the first.
 
@@ -36,9 +37,9 @@ from pyspark.sql import DataFrame, functions as F
 from .storage import persist, release
 from .textbatch import TextSlice, mix, slices
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 7
 FILTER_MB = 32
-SHARD_WINDOWS, SHARD_RUNS = 20_000, 20_000
+SHARD_RUNS, BLOCK_BYTES = 20_000, 1 << 20
 _U = np.uint64
 _BLOCKS = 64
 
@@ -122,12 +123,13 @@ def _recurring(known: DataFrame) -> DataFrame:
     # 40 bits of the content's hash: enough to tell two texts apart, and shorter rows.
     rows = known.select("doc_id", F.col("content").bitwiseAND((1 << 40) - 1).alias("content"), "text")
     named = rows.mapInArrow(name, "gram long, content long")
-    return named.groupBy("gram").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x < y").select("gram")
+    return named.groupBy("gram").agg(F.min("content").alias("x"), F.max("content").alias("y"), F.count("*").alias("n")).where("x < y").select("gram", "n")
 
 
 def _cut(known: DataFrame, emit: Callable, schema: str, grams: DataFrame) -> DataFrame:
     """``emit(part, s, at, runs)`` over all runs that name a recurring gram."""
-    spark, n = known.sparkSession, grams.count()
+    spark, grams = known.sparkSession, grams.select("gram")
+    n = grams.count()
     if n * 1.5 <= FILTER_MB << 20:
         shared = spark.sparkContext.broadcast(_filter(grams, n))
 
@@ -182,78 +184,116 @@ def _emit_runs(part, s: TextSlice, at, begin, end, best) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(best[begin].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["gram", "doc_id", "content", "start", "text"])
 
 
-class Shard:
-    """Confirmed windows of a shard and the automaton over those seen."""
-
-    def __init__(self) -> None:
-        self.windows: list[tuple[int, int]] = []
-        self.first: dict[int, int] = {}
-        self.symbols: dict[bytes, str] = {}
-        self.added: set[int] = set()
-        self.automaton = ahocorasick.Automaton()
-
-    def know(self, windows: list[int], doc_ids: list[int]) -> None:
-        self.first.update(zip(windows, doc_ids, strict=True))
-
-    def spell(self, words: list[bytes]) -> str:
-        """A character for each word; words of no window share one."""
-        get = self.symbols.get
-        return "".join([get(w, "\x01") for w in words])
-
-    def scan(self, s: TextSlice) -> list[list[tuple[int, int]]]:
-        """(word, least doc_id) of every occurrence in each text."""
-        at = s.window_starts(WINDOW)
-        hashes = s.window_hash(at, WINDOW).view(np.int64).tolist()
-        words, fresh = [s.raw(i).split() for i in range(s.n)], False
-        owner = s.word_text[at].tolist() if len(at) else []
-        place = (at - s.word_offsets[:-1][owner]).tolist() if owner else []
-        for h, o, p in zip(hashes, owner, place, strict=True):
-            if h in self.first and h not in self.added:
-                own = words[o][p : p + WINDOW]
-                for w in own:
-                    if w not in self.symbols:
-                        code = 0x100 + len(self.symbols)
-                        self.symbols[w] = chr(code if code < 0xD800 else code + 0x800)
-                self.automaton.add_word(self.spell(own), self.first[h])
-                self.added.add(h)
-                fresh = True
-        if fresh:
-            self.automaton.make_automaton()
-        if not self.added:
-            return [[] for _ in range(s.n)]
-        return [[(end - WINDOW + 1, doc) for end, doc in self.automaton.iter(self.spell(w))] for w in words]
+def _confirmed(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that two documents have, in order, and the least doc_id of each."""
+    order = np.argsort(hashes)
+    hashes, docs = hashes[order], docs[order]
+    begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    first, last = np.minimum.reduceat(docs, begin), np.maximum.reduceat(docs, begin)
+    several = first < last
+    return hashes[begin[several]], first[several]
+
+
+def scan(s: TextSlice, docs: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[tuple[int, int]]]:
+    """(word, least doc_id) of every occurrence of a confirmed window in the
+    runs.  Without ``known`` the runs have all windows of their grams, and which
+    are confirmed follows from them."""
+    at = s.window_starts(WINDOW)
+    hashes = s.window_hash(at, WINDOW)
+    owner = s.word_text[at]
+    windows, first = known if known is not None else _confirmed(hashes, docs[owner])
+    out: list[list[tuple[int, int]]] = [[] for _ in range(s.n)]
+    if not len(windows):
+        return out
+    found = np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)
+    hit = np.flatnonzero(windows[found] == hashes)
+    _, sample = np.unique(found[hit], return_index=True)  # one occurrence of each, to spell it
+    runs = np.unique(owner[hit])
+    symbols: dict[bytes, str] = {}
+    spelled: dict[int, str] = {}
+    for i in runs.tolist():
+        letters = []
+        for w in s.raw(i).split():
+            if (c := symbols.get(w)) is None:
+                code = 0x100 + len(symbols)
+                c = symbols[w] = chr(code if code < 0xD800 else code + 0x800)
+            letters.append(c)
+        spelled[i] = "".join(letters)
+    automaton = ahocorasick.Automaton()
+    chosen = hit[sample]
+    owners, places = owner[chosen], at[chosen]
+    places = places - s.word_offsets[:-1][owners]
+    for i, p, doc in zip(owners.tolist(), places.tolist(), first[found[chosen]].tolist(), strict=True):
+        automaton.add_word(spelled[i][p : p + WINDOW], doc)
+    automaton.make_automaton()
+    for i, doc in zip(runs.tolist(), docs[runs].tolist(), strict=True):
+        out[i] = [(end - WINDOW + 1, least) for end, least in automaton.iter(spelled[i]) if least < doc]
+    return out
 
 
 def _locate(rows: DataFrame) -> DataFrame:
     """doc_id, content, begin, end: stretches of words to remove."""
 
+    def marked(block: list[pa.RecordBatch], known: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+        table = pa.Table.from_batches(block).combine_chunks()
+        doc, content, start = (table.column(n).to_numpy() for n in ("doc_id", "content", "start"))
+        out: list[tuple[int, int, int, int]] = []
+        hits = scan(TextSlice(table.column("text").combine_chunks()), doc, known)
+        for i, found in enumerate(hits):
+            begin = end = None
+            for p, _ in found:
+                if end is not None and p <= end:
+                    end = p + WINDOW
+                    continue
+                if end is not None:
+                    out.append((doc[i], content[i], start[i] + begin, start[i] + end))
+                begin, end = p, p + WINDOW
+            if end is not None:
+                out.append((doc[i], content[i], start[i] + begin, start[i] + end))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["doc_id", "content", "begin", "end"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard = None, Shard()
+        shard, split, block, size = None, False, [], 0
+        windows: list[np.ndarray] = []
+        least: list[np.ndarray] = []
+        known = None
+        last_gram = None
+
+        def given() -> tuple[np.ndarray, np.ndarray] | None:
+            """The windows of a split shard, in order."""
+            nonlocal known
+            if split and known is None:
+                found, doc = np.concatenate([*windows, np.zeros(0, _U)]), np.concatenate([*least, np.zeros(0, np.int64)])
+                order = np.argsort(found)
+                known = found[order], doc[order]
+            return known if split else None
+
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if keys[a] != key:
-                    key, shard = keys[a], Shard()
-                group = batch.slice(a, b - a)
-                kinds = group.column(2).to_numpy()
-                windows = int(np.searchsorted(kinds, 1))
-                shard.know(group.column(6).slice(0, windows).to_pylist(), group.column(3).slice(0, windows).to_pylist())
-                for part, s in slices(group.slice(windows)):
-                    found = []
-                    columns = (part.column(i).to_pylist() for i in (3, 4, 5))
-                    for doc, content, start, hits in zip(*columns, shard.scan(s), strict=True):
-                        last = None
-                        for p, first in hits:
-                            if first < doc:
-                                if last is not None and start + p <= found[last][3]:
-                                    found[last][3] = start + p + WINDOW
-                                else:
-                                    last = len(found)
-                                    found.append([doc, content, start + p, start + p + WINDOW])
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(4)], ["doc_id", "content", "begin", "end"])
+            part = np.stack([batch.column(i).to_numpy() for i in range(2)])
+            gram, kinds, splits = batch.column(3).to_numpy(), batch.column(2).to_numpy(), batch.column(9).to_numpy()
+            sizes = np.diff(TextSlice(batch.column(8)).offsets)
+            new = np.append(True, (gram[1:] != gram[:-1]) | (part[:, 1:] != part[:, :-1]).any(0) | (kinds[1:] != kinds[:-1]))
+            cuts = np.append(np.flatnonzero(new), batch.num_rows)
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                key = (int(part[0, a]), int(part[1, a]))
+                fresh = key != shard
+                # A block ends between grams once it is large, and with its shard.
+                if block and (fresh or size >= BLOCK_BYTES and (last_gram != gram[a] or split)):
+                    yield marked(block, given())
+                    block, size = [], 0
+                if fresh:
+                    shard, split, windows, least, known = key, bool(splits[a]), [], [], None
+                rows = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    windows.append(rows.column(7).to_numpy().view(_U))
+                    least.append(rows.column(4).to_numpy())
+                else:
+                    block.append(rows)
+                    size += int(total[b] - total[a])
+                last_gram = gram[a]
+        if block:
+            yield marked(block, given())
 
     return rows.mapInArrow(run, "doc_id long, content long, begin long, end long")
 
@@ -263,20 +303,24 @@ def marks(known: DataFrame) -> DataFrame:
     spark = known.sparkSession
     grams = persist(_recurring(known), "grams")
     release(spark)
-    windows = _cut(known, _emit_windows, "gram long, window long, doc_id long", grams)
-    confirmed = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    confirmed = persist(confirmed.select("gram", "window", "first"), "windows")
-    release(spark)
-    shards = max(1, -(-confirmed.count() // SHARD_WINDOWS))
+    shards = max(1, -(-(grams.agg(F.sum("n")).first()[0] or 0) // SHARD_RUNS))
     shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard")
-    runs = _cut(known, _emit_runs, "gram long, doc_id long, content long, start long, text string", confirmed.select("gram").distinct())
-    runs = persist(runs.select(shard, "doc_id", "content", "start", "text"), "runs")
-    sizes = persist(runs.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / SHARD_RUNS).cast("int")).alias("parts")), "sizes")
-    # A row for each shard: few, as shards follow the confirmed windows / SHARD_WINDOWS.
-    parts = F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")
-    texts = runs.join(sizes, "shard").select("shard", parts.alias("part"), F.lit(1).alias("kind"), "doc_id", "content", "start", F.lit(None).cast("long").alias("window"), "text")
-    known_windows = confirmed.select(shard, "window", "first").join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(None).cast("long").alias("content"), F.lit(None).cast("long").alias("start"), "window", F.lit(None).cast("string").alias("text"))
-    dealt = known_windows.union(texts).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    parts = F.when(F.sum("n") > 3 * SHARD_RUNS, F.ceil(F.sum("n") / SHARD_RUNS)).otherwise(1).cast("int")
+    large = persist(grams.groupBy(shard).agg(parts.alias("parts")).where("parts > 1"), "large")
+    none, schema = F.lit(None), "gram long, doc_id long, content long, start long, text string"
+    runs = _cut(known, _emit_runs, schema, grams).select(shard, "gram", "doc_id", "content", "start", none.cast("long").alias("window"), "text")
+    # A row for each large shard: fewer than one in three of all.
+    runs = runs.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    place = F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")
+    rows = runs.select("shard", place.alias("part"), F.lit(1).alias("kind"), "gram", "doc_id", "content", "start", "window", "text", (F.col("parts") > 1).cast("int").alias("split"))
+    if not large.isEmpty():
+        hot = grams.select("gram", shard).join(large, "shard").select("gram")
+        windows = _cut(known, _emit_windows, "gram long, window long, doc_id long", hot).join(hot, "gram", "left_semi")
+        found = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        found = found.select(shard, "gram", "window", "first").join(large, "shard")
+        zero = F.lit(0).cast("long")
+        rows = rows.union(found.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0), zero, F.col("first"), zero, zero, "window", none.cast("string"), F.lit(1)))
+    dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "gram")
     return persist(_locate(dealt), "marks")
 
 

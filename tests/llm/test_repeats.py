@@ -45,10 +45,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("megabytes", "windows", "runs"), [(32, 20_000, 20_000), (0, 50, 10)])
-def test_equals_brute_force(spark, monkeypatch, megabytes, windows, runs):
+@pytest.mark.parametrize(("megabytes", "block", "runs"), [(32, 1 << 20, 20_000), (0, 200, 10)])
+def test_equals_brute_force(spark, monkeypatch, megabytes, block, runs):
     monkeypatch.setattr(repeated_phrases, "FILTER_MB", megabytes)
-    monkeypatch.setattr(repeated_phrases, "SHARD_WINDOWS", windows)
+    monkeypatch.setattr(repeated_phrases, "BLOCK_BYTES", block)
     monkeypatch.setattr(repeated_phrases, "SHARD_RUNS", runs)
     rows = corpus()
     got = repeated_phrases.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
