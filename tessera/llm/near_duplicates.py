@@ -12,10 +12,11 @@ most shingles-per-document / RARE whatever N is, so they can be broadcast.
 ICWS draws for every sample one shingle with its level, equal in two documents
 with the probability of their weighted Jaccard similarity.  ``BANDS`` groups of
 ``ROWS`` samples are hashed.  Within a group of equal hashes every document is
-compared with the first one; documents that aren't similar to it are compared
-with the first among themselves, and so on until each group is used up, but not
-with documents that are linked to it already.  So a large group costs a row for
-each member and not a pair for each two.  Every link is verified by the weighted
+compared with the first one, so a large group of copies costs a row for each
+member and not a pair for each two.  What isn't similar to the first is compared
+among itself, unless it is connected already: groups of up to ``SMALL`` whole,
+larger ones by the shingles that a similar pair must share (``_split``).
+Every link is verified by the weighted
 Jaccard similarity of the whole texts; classes are the connected components.
 
 Exact copies are put together first and stand for one document.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
 from .storage import persist, release
@@ -42,6 +43,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 14, 4
 RARE = 1e-3
+SMALL = 256
 _RUN = 4_000_000
 _U = np.uint64
 
@@ -210,10 +212,64 @@ def _verified(docs: DataFrame, pairs: DataFrame, shared) -> DataFrame:
     return texts.repartition("a", "part").sortWithinPartitions("a", "part", "id").mapInArrow(compare, "a long, b long")
 
 
+def _pairwise(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
+    """Links (a, b) that join the documents of small groups (g, doc_id): each is
+    compared with all before it that aren't connected to it yet."""
+    texts = docs.join(groups, "doc_id").select("g", "doc_id", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, set_of = None, [], []
+        for batch in batches:
+            for part, s in slices(batch):
+                keys, ids = (part.column(i).to_pylist() for i in range(2))
+                owner, hashes, times = shingles(s)
+                weights = shared.value.of(hashes, times)
+                cut = np.searchsorted(owner, np.arange(s.n + 1))
+                found = []
+                for i in range(s.n):
+                    if keys[i] != group:
+                        group, held, set_of = keys[i], [], []
+                    own = (hashes[cut[i] : cut[i + 1]], weights[cut[i] : cut[i + 1]])
+                    total, mine = float(own[1].sum()), len(held)
+                    set_of.append(mine)
+                    for j, (other, x, size) in enumerate(held):
+                        if set_of[j] != set_of[mine] and SIMILAR * max(size, total) <= min(size, total) and similarity(x, own) >= SIMILAR:
+                            found.append((other, ids[i]))
+                            old, new = set_of[mine], set_of[j]
+                            set_of = [new if k == old else k for k in set_of]
+                    held.append((ids[i], own, total))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return texts.repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(compare, "a long, b long")
+
+
+def _split(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
+    """Large groups as smaller ones that lose no similar pair.
+
+    In order of their number in the group, rare first, a document's shingles are
+    taken until their weight passes 1 - SIMILAR of its own.  Two documents that
+    are similar have one of those in common, so each such shingle is a group.
+    """
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, s in slices(batch):
+                owner, hashes, times = shingles(s)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(hashes.view(np.int64)), pa.array(shared.value.of(hashes, times))], ["g", "doc_id", "h", "w"])
+
+    rows = docs.join(groups, "doc_id").select("g", "doc_id", "text").mapInArrow(weigh, "g long, doc_id long, h long, w double")
+    rows = persist(rows, "weighed")
+    counts = persist(rows.groupBy("g", "h").agg(F.count("*").alias("n")), "counted")
+    own = Window.partitionBy("g", "doc_id")
+    rows = rows.join(counts, ["g", "h"]).withColumn("all", F.sum("w").over(own)).withColumn("upto", F.sum("w").over(own.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, 0)))
+    first = (F.col("upto") - F.col("w") <= (1 - SIMILAR) * F.col("all") * (1 + 1e-9)) & (F.col("n") > 1)
+    return rows.where(first).select(F.xxhash64("g", "h").alias("g"), "doc_id").distinct()
+
+
 def _links(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
     """Links (a, b) within groups (g, doc_id), as the module's text says."""
-    found = None
-    left = groups
+    found, left = None, groups
     while True:
         # Written, so that the join below is of two plain shuffles, of which Spark can split the large parts.
         first = persist(left.groupBy("g").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "first")
@@ -222,11 +278,20 @@ def _links(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
             return found if found is not None else asked.select("a", "b")
         similar = persist(_verified(docs, asked.select("a", "b").distinct(), shared), "similar")
         found = similar if found is None else persist(found.union(similar).distinct(), "found")
-        roots = components(found)
+        roots = persist(components(found), "roots")
         rest = asked.join(similar, ["a", "b"], "left_anti").select("g", F.col("b").alias("doc_id"))
         named = rest.join(roots, rest.doc_id == roots.vertex, "left").select("g", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        open_groups = named.groupBy("g").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("g")
-        left = persist(named.select("g", "doc_id").join(open_groups, "g"), "left")
+        # Groups of one component are done; equal groups of several bands are one.
+        facts = named.groupBy("g").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"))
+        facts = persist(facts.where("open").groupBy("n", "sum").agg(F.min("g").alias("g")), "open")
+        open_groups = persist(named.select("g", "doc_id").join(facts.select("g", "n"), "g"), "left")
+        few = open_groups.where(F.col("n") <= SMALL)
+        if not few.isEmpty():
+            found = persist(found.union(_pairwise(docs, few.select("g", "doc_id"), shared)).distinct(), "found")
+        many = open_groups.where(F.col("n") > SMALL)
+        if many.isEmpty():
+            return found
+        left = persist(_split(docs, many.select("g", "doc_id"), shared), "split")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,12 +55,20 @@ def corpus():
             for _ in range(r.choice([0, 0, 1, 2])):
                 w[r.randrange(len(w))] = "edit"
             rows.append((len(rows), " ".join(w)))
+    shared = r.choices(vocabulary, k=60)  # two in three of what many documents say, and chains of edits
+    rows += [(len(rows) + i, " ".join(shared + r.choices(vocabulary, k=25))) for i in range(25)]
+    chain = r.choices(vocabulary, k=100)
+    for i in range(12):
+        chain[8 * i] = f"link{i}"
+        rows.append((300 + i, " ".join(chain)))
     rows += [(500, rows[3][1]), (500, rows[3][1]), (None, rows[3][1]), (501, ""), (502, None), (503, " ")]
     r.shuffle(rows)
     return rows
 
 
-def test_classes_equal_all_pairs(spark):
+@pytest.mark.parametrize("small", [256, 2])
+def test_classes_equal_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(nd, "SMALL", small)
     rows = corpus()
     got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((str(r.doc_id), r.class_id) for r in got) == brute(rows)
