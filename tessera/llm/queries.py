@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, near_duplicates, personal_data, quality, repeated_phrases, sentencepieces, token_counts, toxicity, wavelet
+from . import decontamination, language_id, near_duplicates, oracle, personal_data, quality, repeated_phrases, sentencepieces, token_counts, toxicity, wavelet
 from .storage import shared_folder
 
 
@@ -81,4 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_repeated_phrases": oracle.REPEATED_PHRASES,
+    "op8_quality_rules": oracle.QUALITY_RULES,
+    "op9_decontamination": oracle.DECONTAMINATION,
+}
