@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .memo import Memo
+from .storage import persist
 from .textbatch import slices
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -136,4 +137,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_co
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
 
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return rows.join(stored(), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Written, so that the join is of two plain shuffles, of which Spark can split the parts with many copies.
+    return rows.join(persist(stored(), "token-counts"), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
