@@ -35,7 +35,8 @@ def _seeds(rows: DataFrame, words: str, *keys: str) -> DataFrame:
     used = sorted({o for mask in MASKS for o in mask})
     n = F.size(words) - (SPAN - 1)
     places = F.arrays_zip(*[F.slice(F.col(words), F.lit(o + 1), F.greatest(n, F.lit(0))).alias(f"w{o}") for o in used])
-    rows = rows.where(F.size(words) >= SPAN).select(*keys, F.posexplode(places).alias("pos", "w"))
+    # Shorter texts give no places; a filter on the size would split every text once more.
+    rows = rows.select(*keys, F.posexplode(places).alias("pos", "w"))
     hashes = [F.xxhash64(F.lit(k), *[F.col(f"w.w{o}") for o in mask]) for k, mask in enumerate(MASKS)]
     return rows.select(*keys, "pos", F.explode(F.array(*hashes)).alias("seed"))
 
@@ -46,7 +47,10 @@ def _best(doc: Column, item: Column, shift: Column) -> Column:
     length = F.greatest(F.least(F.size(item), F.size(doc) - shift) - start, F.lit(0))
     width = F.least(F.lit(WINDOW), F.size(item))
     equal = F.zip_with(F.slice(item, start + 1, length), F.slice(doc, start + shift + 1, length), lambda a, b: (a == b).cast("int"))
-    sums = F.transform(F.sequence(F.lit(1), length - width + 1), lambda i: F.aggregate(F.slice(equal, i, width), F.lit(0), lambda a, x: a + x))
+    # Sums of windows from running sums, so that no lambda holds an outer array: it would be made again at every step.
+    running = F.aggregate(equal, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    count = F.greatest(length - width + 1, F.lit(0))
+    sums = F.zip_with(F.slice(running, width + 1, count), F.slice(running, F.lit(1), count), lambda a, b: a - b)
     return F.when(length >= width, F.array_max(sums))
 
 

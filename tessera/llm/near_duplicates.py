@@ -2,8 +2,9 @@
 
 A document is the weighted set of its shingles of five words (of all its words
 if it has fewer); a shingle weighs its count in the document times
-``1 + min(1, log(N / df) / log(1 / RARE))``, so one in most documents counts
-half of a rare one.  Shingles in at least ``RARE * N`` documents are counted
+``1 + SPAN * min(1, log(N / df) / log(1 / RARE))``.  The span is small, so that
+the edits of a text that thousands copy, rare beside its own shingles, don't
+weigh so much more that its near copies fall apart.  Shingles in at least ``RARE * N`` documents are counted
 exactly over all documents: a run of rows passes on the shingles that are in
 half that share of it, so none can be missed (a shingle that frequent overall is
 as frequent in some run), then the candidates are counted.  Their number is at
@@ -43,6 +44,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 14, 4
 RARE = 1e-3
+SPAN = 0.25
 SMALL = 256
 _RUN = 4_000_000
 _U = np.uint64
@@ -122,10 +124,10 @@ class Weights:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int):
         self.hashes = hashes
         idf = np.log(max(1, n) / np.maximum(1.0, counts)) / np.log(1 / RARE)
-        self.weight = 1 + np.clip(idf, 0, 1)
+        self.weight = 1 + SPAN * np.clip(idf, 0, 1)
 
     def of(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), 2.0)
+        out = np.full(len(hashes), 1 + SPAN)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes

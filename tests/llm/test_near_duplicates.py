@@ -24,7 +24,7 @@ def brute(rows):
     """Classes by the weighted similarity of all pairs."""
     bags = sets(rows)
     n, df = len(rows), Counter(x for b in bags for x in b)
-    weight = {x: 1 + min(1, log(n / c) / log(1 / nd.RARE)) if c >= nd.RARE * n else 2 for x, c in df.items()}
+    weight = {x: 1 + nd.SPAN * (min(1, log(n / c) / log(1 / nd.RARE)) if c >= nd.RARE * n else 1) for x, c in df.items()}
     root = {d: d for d, _ in rows if d is not None}
 
     def find(d):
