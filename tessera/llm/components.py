@@ -18,19 +18,18 @@ def _least(links: DataFrame, key: str, value: str) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """vertex, root for every vertex of the links (a, b); root is the least
     vertex of its component.  Loops and repeated links do no harm."""
-    now = persist(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    now, before = persist(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"), None
     while True:
         # Large stars: every larger neighbour of u is linked to the least vertex around u.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both, "a", "b").select("u", F.least("m", "u").alias("m"))
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
         # Small stars: every smaller neighbour of u, and u, is linked to the least of them.
         least = _least(large, "a", "b")
         small = large.join(least, large.a == least.u).select("a", "b", "m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct()
         new = persist(small, "links")
-        before, after = (x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for x in (now, new))
-        now = new
-        if before == after:
+        after = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        now, done, before = new, after == before, after
+        if done:
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).union(now.select(F.col("b").alias("vertex"), F.col("b").alias("root"))).distinct()

@@ -43,10 +43,10 @@ from .textbatch import TextSlice, mix, range_hash, slices
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 14, 4
-RARE = 1e-3
+RARE = 1e-2
 SPAN = 0.25
-SMALL = 256
-_RUN = 4_000_000
+SMALL = 1000
+_RUN = 2_000_000
 _U = np.uint64
 
 
@@ -74,24 +74,28 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     least = max(1.0, RARE * n)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = seen = 0
-
-        def flush() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def flush(n: int) -> pa.RecordBatch:
+            """The first n slices; the rest stay, so that no run is short."""
+            nonlocal held, size
+            now, held = held[:n], held[n:]
+            size -= sum(len(h) for _, h in now)
+            seen = sum(k for k, _ in now)
+            found, times = np.unique(np.concatenate([h for _, h in now]), return_counts=True)
             good = times >= RARE * seen / 2
             return pa.RecordBatch.from_arrays([pa.array(found[good].view(np.int64)), pa.array(times[good].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for part, s in slices(batch):
+            for _, s in slices(batch):
                 hashes = shingles(s)[1]
-                held.append(hashes)
-                size, seen = size + len(hashes), seen + s.n
-                if size >= _RUN:
-                    yield flush()
-                    held, size, seen = [], 0, 0
+                held.append((s.n, hashes))
+                size += len(hashes)
+                if size >= 2 * _RUN and len(held) > 1:
+                    yield flush(max(1, len(held) // 2))
         if held:
-            yield flush()
+            yield flush(len(held))
 
     texts = docs.select("text")
     # A shingle that passes was in half the share of runs whose counts are here; the rest can add less than the other half.
@@ -280,9 +284,9 @@ def _links(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
             return found if found is not None else asked.select("a", "b")
         similar = persist(_verified(docs, asked.select("a", "b").distinct(), shared), "similar")
         found = similar if found is None else persist(found.union(similar).distinct(), "found")
-        roots = persist(components(found), "roots")
+        roots = components(found)
         rest = asked.join(similar, ["a", "b"], "left_anti").select("g", F.col("b").alias("doc_id"))
-        named = rest.join(roots, rest.doc_id == roots.vertex, "left").select("g", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        named = persist(rest.join(roots, rest.doc_id == roots.vertex, "left").select("g", "doc_id", F.coalesce("root", "doc_id").alias("root")), "named")
         # Groups of one component are done; equal groups of several bands are one.
         facts = named.groupBy("g").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"))
         facts = persist(facts.where("open").groupBy("n", "sum").agg(F.min("g").alias("g")), "open")
@@ -326,7 +330,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     groups = one.select("doc_id", F.posexplode("bands").alias("band", "h")).select("doc_id", F.xxhash64("band", "h").alias("g"))
     several = persist(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "several")
     groups = persist(groups.join(several, "g"), "groups")
-    texts = persist(known.join(groups.select("doc_id").distinct(), "doc_id"), "texts")
+    # These doc_ids grow with the corpus, so the plan is the one for large tables at every size.
+    texts = persist(known.join(groups.select("doc_id").distinct().hint("merge"), "doc_id"), "texts")
     release(spark)
     links = _links(texts, groups, shared)
     # A doc_id with several texts links their classes.

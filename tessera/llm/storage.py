@@ -6,25 +6,12 @@ missing, as in tests on one machine, a temporary folder stands in.
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if folder:
-        return folder.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="tessera-shared-"))
-        atexit.register(shutil.rmtree, _fallback[0], True)
-    return _fallback[0]
+from ..sources.files import shared_folder
 
 
 def persist(df: DataFrame, name: str, **options: object) -> DataFrame:
