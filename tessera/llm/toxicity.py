@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import persist
 from .textbatch import TextSlice, grams, slices
 
 SIZES = (4, 5, 6, 8)
@@ -75,7 +76,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty:
     value = scale[flat]
     w, b, seen_w, seen_b = np.zeros(len(scale)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), np.zeros(len(scale)), 0.0
     seen_b = b
-    norm = max(1.0, float(np.bincount(owner, value * value, minlength=len(rows)).max())) + 1
+    norm = max(1.0, float(np.bincount(owner, value * value, minlength=len(rows)).max(initial=0.0))) + 1
     rate = 4 / norm
     for k in range(steps):
         z = seen_b + np.bincount(owner, value * seen_w[flat], minlength=len(rows))
@@ -111,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         index = np.flatnonzero(totals.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(index, -1)), *[pa.array(np.append(totals[c][index], docs_seen[c]).astype(np.int64)) for c in (0, 1)]], ["feature", "clean", "toxic"])
 
-    counts = rows.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = persist(rows.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "feature-counts")
     seen = counts.where("feature = -1").collect()
     clean, toxic = (seen[0].clean, seen[0].toxic) if seen else (0, 0)
     weight = np.zeros(1 << BITS)
