@@ -14,9 +14,11 @@ ICWS draws for every sample one shingle with its level, equal in two documents
 with the probability of their weighted Jaccard similarity.  ``BANDS`` groups of
 ``ROWS`` samples are hashed.  Within a group of equal hashes every document is
 compared with the first one, so a large group of copies costs a row for each
-member and not a pair for each two.  What isn't similar to the first is compared
-among itself, unless it is connected already: groups of up to ``SMALL`` whole,
-larger ones by the shingles that a similar pair must share (``_split``).
+member and not a pair for each two.  If that leaves a group of more than one
+component, every two of its documents that aren't connected are compared: in
+groups of up to ``SMALL`` outright, in larger ones after a second star around the
+most central document (``_centres``) and within the shingles that a similar pair
+must share (``_split``).
 Every link is verified by the weighted
 Jaccard similarity of the whole texts; classes are the connected components.
 
@@ -196,7 +198,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, shared) -> DataFrame:
     sizes = persist(dealt.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts")), "sizes")
     dealt = dealt.join(sizes, "a").select("a", "b", F.pmod("x", F.col("parts")).alias("part"))
     wanted = dealt.select("a", "part", F.col("b").alias("id")).union(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    texts = docs.join(wanted, docs.doc_id == wanted.id).select("a", "part", F.col("id"), "text")
+    texts = docs.join(wanted, docs.doc_id == wanted.id).select("a", "part", "id", "text", (F.col("id") != F.col("a")).alias("later"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, first = None, (np.zeros(0, _U), np.zeros(0))
@@ -210,52 +212,68 @@ def _verified(docs: DataFrame, pairs: DataFrame, shared) -> DataFrame:
                 for i in range(s.n):
                     own = (hashes[cut[i] : cut[i + 1]], weights[cut[i] : cut[i + 1]])
                     if group != (a[i], p[i]):
-                        group, first = (a[i], p[i]), own  # ids are in order and the first document has the least
+                        group, first = (a[i], p[i]), own  # the first document of the group comes first
                     elif similarity(first, own) >= SIMILAR:
                         found.append((a[i], ids[i]))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return texts.repartition("a", "part").sortWithinPartitions("a", "part", "id").mapInArrow(compare, "a long, b long")
+    return texts.repartition("a", "part").sortWithinPartitions("a", "part", "later", "id").mapInArrow(compare, "a long, b long")
 
 
-def _pairwise(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """Links (a, b) that join the documents of small groups (g, doc_id): each is
-    compared with all before it that aren't connected to it yet."""
-    texts = docs.join(groups, "doc_id").select("g", "doc_id", "text")
+def _compared(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
+    """Links (a, b) that join the documents of groups (g, doc_id, root, n):
+    every two of different roots are compared unless a link has joined them.
+
+    Groups of up to ``SMALL`` are dealt whole.  In a larger one only what is
+    outside its most frequent root leads, in parts of about ``SMALL``, and all
+    the group follows each part, in slices of about ``4 * SMALL``.
+    """
+    small = groups.where(F.col("n") <= SMALL).select("doc_id", "root", F.xxhash64("g").alias("key"), F.lit(0).alias("role"))
+    large = groups.where(F.col("n") > SMALL)
+    tallies = large.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    facts = persist(tallies.select("g", "main", F.ceil((F.col("all") - F.col("most")) / SMALL).alias("parts"), F.ceil(F.col("all") / (4 * SMALL)).alias("slices")), "dealt")
+    large = large.join(facts, "g").withColumn("part", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
+    leads = large.where("part is not null").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    # Leads meet each other in the first slice only; role 2 follows.
+    leads = leads.select("doc_id", "root", F.xxhash64("g", "part", "slice").alias("key"), F.when(F.col("slice") == 0, 0).otherwise(1).alias("role"))
+    follow = large.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part is null or part <> to")
+    follow = follow.select("doc_id", "root", F.xxhash64("g", "to", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices"))).alias("key"), F.lit(2).alias("role"))
+    texts = docs.join(small.union(leads).union(follow), "doc_id").select("key", "role", "doc_id", "root", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, set_of = None, [], []
+        group, held, set_of, joined = None, [], [], {}
         for batch in batches:
             for part, s in slices(batch):
-                keys, ids = (part.column(i).to_pylist() for i in range(2))
+                keys, roles, ids, roots = (part.column(i).to_pylist() for i in range(4))
                 owner, hashes, times = shingles(s)
                 weights = shared.value.of(hashes, times)
                 cut = np.searchsorted(owner, np.arange(s.n + 1))
                 found = []
                 for i in range(s.n):
                     if keys[i] != group:
-                        group, held, set_of = keys[i], [], []
+                        group, held, set_of, joined = keys[i], [], [], {}
                     own = (hashes[cut[i] : cut[i + 1]], weights[cut[i] : cut[i + 1]])
-                    total, mine = float(own[1].sum()), len(held)
-                    set_of.append(mine)
-                    for j, (other, x, size) in enumerate(held):
-                        if set_of[j] != set_of[mine] and SIMILAR * max(size, total) <= min(size, total) and similarity(x, own) >= SIMILAR:
-                            found.append((other, ids[i]))
-                            old, new = set_of[mine], set_of[j]
-                            set_of = [new if k == old else k for k in set_of]
-                    held.append((ids[i], own, total))
+                    total, mine = float(own[1].sum()), roots[i]
+                    while mine in joined:
+                        mine = joined[mine]
+                    if roles[i] != 1:
+                        for j, (other, x, size) in enumerate(held):
+                            if set_of[j] != mine and SIMILAR * max(size, total) <= min(size, total) and similarity(x, own) >= SIMILAR:
+                                found.append((other, ids[i]))
+                                joined[mine] = new = set_of[j]
+                                set_of = [new if k == mine else k for k in set_of]
+                                mine = new
+                    if roles[i] != 2:
+                        held.append((ids[i], own, total))
+                        set_of.append(mine)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return texts.repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(compare, "a long, b long")
+    return texts.repartition("key").sortWithinPartitions("key", "role", "doc_id").mapInArrow(compare, "a long, b long")
 
 
-def _split(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """Large groups as smaller ones that lose no similar pair.
-
-    In order of their number in the group, rare first, a document's shingles are
-    taken until their weight passes 1 - SIMILAR of its own.  Two documents that
-    are similar have one of those in common, so each such shingle is a group.
-    """
+def _weighed(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
+    """A row (g, doc_id, h, w, n) for each shingle of the documents of groups
+    (g, doc_id): its weight there and the number of the group's documents with it."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,37 +285,64 @@ def _split(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
     rows = docs.join(groups, "doc_id").select("g", "doc_id", "text").mapInArrow(weigh, "g long, doc_id long, h long, w double")
     rows = persist(rows, "weighed")
     counts = persist(rows.groupBy("g", "h").agg(F.count("*").alias("n")), "counted")
+    return rows.join(counts, ["g", "h"]).select("g", "doc_id", "h", "w", "n")
+
+
+def _centres(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each group's most central document, that with the most
+    frequent shingles, and those of other roots."""
+    scores = rows.groupBy("g", "doc_id").agg((F.sum(F.col("w") * F.col("n")) / F.sum("w")).alias("score"))
+    centre = scores.groupBy("g").agg(F.max_by("doc_id", F.struct("score", "doc_id")).alias("a"))
+    centre = persist(centre.join(groups.select("g", F.col("doc_id").alias("a"), F.col("root").alias("own")), ["g", "a"]), "centre")
+    return groups.join(centre, "g").where("root <> own").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Large groups, as ``_weighed`` gives them, as smaller ones that lose no
+    similar pair.
+
+    In order of their number in the group, rare first, a document's shingles are
+    taken until their weight passes 1 - SIMILAR of its own.  Two documents that
+    are similar have one of those in common, so each such shingle is a group.
+    """
     own = Window.partitionBy("g", "doc_id")
-    rows = rows.join(counts, ["g", "h"]).withColumn("all", F.sum("w").over(own)).withColumn("upto", F.sum("w").over(own.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("all", F.sum("w").over(own)).withColumn("upto", F.sum("w").over(own.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, 0)))
     first = (F.col("upto") - F.col("w") <= (1 - SIMILAR) * F.col("all") * (1 + 1e-9)) & (F.col("n") > 1)
     return rows.where(first).select(F.xxhash64("g", "h").alias("g"), "doc_id").distinct()
 
 
+def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the groups (g, doc_id) that have more than one component, as
+    (g, doc_id, root, n); equal groups of several bands are one."""
+    named = persist(groups.join(roots, groups.doc_id == roots.vertex, "left").select("g", "doc_id", F.coalesce("root", "doc_id").alias("root")), "named")
+    facts = named.groupBy("g").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"))
+    facts = persist(facts.where("open").groupBy("n", "sum").agg(F.min("g").alias("g")), "open")
+    return persist(named.join(facts.select("g", "n"), "g"), "left")
+
+
 def _links(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
     """Links (a, b) within groups (g, doc_id), as the module's text says."""
-    found, left = None, groups
-    while True:
-        # Written, so that the join below is of two plain shuffles, of which Spark can split the large parts.
-        first = persist(left.groupBy("g").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "first")
-        asked = persist(left.join(first, "g").select("g", "a", F.col("doc_id").alias("b")).where("a <> b"), "asked")
-        if asked.isEmpty():
-            return found if found is not None else asked.select("a", "b")
-        similar = persist(_verified(docs, asked.select("a", "b").distinct(), shared), "similar")
-        found = similar if found is None else persist(found.union(similar).distinct(), "found")
-        roots = components(found)
-        rest = asked.join(similar, ["a", "b"], "left_anti").select("g", F.col("b").alias("doc_id"))
-        named = persist(rest.join(roots, rest.doc_id == roots.vertex, "left").select("g", "doc_id", F.coalesce("root", "doc_id").alias("root")), "named")
-        # Groups of one component are done; equal groups of several bands are one.
-        facts = named.groupBy("g").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"))
-        facts = persist(facts.where("open").groupBy("n", "sum").agg(F.min("g").alias("g")), "open")
-        open_groups = persist(named.select("g", "doc_id").join(facts.select("g", "n"), "g"), "left")
-        few = open_groups.where(F.col("n") <= SMALL)
-        if not few.isEmpty():
-            found = persist(found.union(_pairwise(docs, few.select("g", "doc_id"), shared)).distinct(), "found")
-        many = open_groups.where(F.col("n") > SMALL)
-        if many.isEmpty():
-            return found
-        left = persist(_split(docs, many.select("g", "doc_id"), shared), "split")
+    # Written, so that the join below is of two plain shuffles, of which Spark can split the large parts.
+    first = persist(groups.groupBy("g").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "first")
+    asked = persist(groups.join(first, "g").select("g", "a", F.col("doc_id").alias("b")).where("a <> b"), "asked")
+    if asked.isEmpty():
+        return asked.select("a", "b")
+    found = persist(_verified(docs, asked.select("a", "b").distinct(), shared), "similar")
+    left = _open(groups, components(found))
+    few, many = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
+    if not few.isEmpty():
+        found = persist(found.union(_compared(docs, few, shared)).distinct(), "found")
+    if many.isEmpty():
+        return found
+    rows = persist(_weighed(docs, many.select("g", "doc_id"), shared), "rows")
+    found = persist(found.union(_verified(docs, _centres(rows, many), shared)).distinct(), "found")
+    roots = persist(components(found), "roots")
+    still = _open(many.select("g", "doc_id"), roots)
+    if still.isEmpty():
+        return found
+    parts = persist(_split(rows.join(still.select("g").distinct(), "g", "left_semi")), "split")
+    left = _open(parts, roots)
+    return found if left.isEmpty() else persist(found.union(_compared(docs, left, shared)).distinct(), "found")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,6 +76,25 @@ def test_classes_equal_all_pairs(spark, monkeypatch, small):
     assert sorted(str(r.doc_id) for r in kept) == sorted({str(c) for _, c in brute(rows)})
 
 
+@pytest.mark.parametrize("small", [256, 8])
+def test_edited_copies_join_around_an_original_of_any_id(spark, monkeypatch, small):
+    """Copies are similar to the original, not to each other."""
+    monkeypatch.setattr(nd, "SMALL", small)
+    r = random.Random(31)
+    rows = []
+    for k in range(3):
+        original = [f"w{r.randrange(5000)}" for _ in range(300)]
+        for i in range(40):
+            w = list(original)
+            for at in r.sample(range(10), 5) if i != 25 else ():
+                w[30 * at + r.randrange(5, 25)] = f"edit{r.randrange(10**6)}"
+            rows.append((100 * k + i, " ".join(w)))
+    want = brute(rows)
+    assert len({c for _, c in want}) == 3
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(x.doc_id), x.class_id) for x in got) == want
+
+
 @pytest.mark.parametrize("rows", [edge.frame, edge.empty])
 def test_edge_rows(spark, rows):
     docs = rows(spark)
