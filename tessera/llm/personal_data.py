@@ -3,7 +3,10 @@
 The base detectors find e-mail addresses, IP addresses, card numbers and phone
 numbers as they stand.  Then small transducers rewrite the text: look-alike
 letters and digits become ASCII, invisible characters go, "(at)", "[dot]" and
-the like become signs, runs of spelled digits become digits.  Every character of
+the like become signs, runs of seven or more spelled digits and spelled IP
+addresses of any length become digits.  Bare " at " counts only before labels
+and spoken dots that end in a country code or a usual general ending (``_ENDS``),
+as "look at this dot and" isn't an address.  Every character of
 the rewritten text knows the source characters it came from, so what the same
 detectors find there maps back to source spans.  A span so found is added
 unless it overlaps a base span of its kind; base spans always stay.
@@ -101,14 +104,28 @@ _NAMES = {
 }
 _DIGIT = {name: str(d) for names in _NAMES.values() for d, name in enumerate(names.split())} | {"plus": "+", "más": "+"}
 _WORD = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
-_SPELLED_RUN = re.compile(rf"(?<![^\W_]){_WORD}(?:[ ,.-]{{1,2}}(?:{_WORD}|[0-9]+)){{6,}}(?![^\W_])", re.I)
+_OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
+_SAID_DOT = rf"(?:{_OPEN}(?:dot|\.){_SHUT}|\sdot\s)"
+_SPELLED_RUN = re.compile(rf"(?<![^\W_]){_WORD}(?:(?:{_SAID_DOT}|[ ,.-]{{1,2}})(?:{_WORD}|[0-9]+)){{6,}}(?![^\W_])", re.I)
+# Four parts of up to three digits are an IP address, however few digits they have.
+_PART = rf"(?:{_WORD}|[0-9]+)(?:[ ,-]{{1,2}}(?:{_WORD}|[0-9]+)){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?<![^\W_]){_PART}(?:(?:{_SAID_DOT}|\.){_PART}){{3}}(?![^\W_])", re.I)
 _SPELLED = re.compile(_WORD, re.I)
-_BETWEEN = re.compile("[ ,.-]{1,2}")
+_BETWEEN = re.compile(rf"(?P<dot>{_SAID_DOT})|[ ,.-]{{1,2}}", re.I)
 _UNSEEN = "­​‌‍⁠﻿"
-_OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _LABEL = r"[A-Za-z0-9-]+"
-# Bare words "at" and "dot" are common, so they count only before one of these.
-_ENDS = "com|org|net|edu|gov|info|biz|io|co|eu|us|uk|de|at|ch|fr|es|it|nl|ru|cn|jp|br|in"
+# Bare words "at" and "dot" are common, so they count only before one of these: the
+# country codes and the usual general endings.
+_ENDS = "|".join(
+    (
+        "com org net edu gov mil int info biz name pro mobi jobs app dev page cloud online site store shop tech blog xyz "
+        "ac ad ae af ag ai al am ao ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+        "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it "
+        "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
+        "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+        "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+    ).split()
+)
 _EDIT = re.compile(
     rf"(?P<none>[{_UNSEEN}]+)"
     rf"|(?P<at>(?<=[A-Za-z0-9_%+-])(?:{_OPEN}(?:at|@){_SHUT}|\s@\s?|@\s)(?={_LABEL}))"
@@ -167,9 +184,9 @@ def _source(span: Span, here: list[int], there: list[int]) -> Span:
 
 def _edits(text: str) -> list[tuple[int, int, str]]:
     found = [(*m.span(), _SIGN[m.lastgroup]) for m in _EDIT.finditer(text)]
-    for run in _SPELLED_RUN.finditer(text):
+    for run in (*_SPELLED_RUN.finditer(text), *(m for m in _SPELLED_IP.finditer(text) if _SPELLED.search(m[0]))):
         found += [(m.start(), m.end(), _DIGIT[m[0].lower()]) for m in _SPELLED.finditer(text, *run.span())]
-        found += [(m.start(), m.end(), "") for m in _BETWEEN.finditer(text, *run.span()) if m[0] != "."]
+        found += [(m.start(), m.end(), "." if m["dot"] else "") for m in _BETWEEN.finditer(text, *run.span()) if m[0] != "."]
     out, last = [], 0
     for start, end, new in sorted(found):
         if start >= last:
@@ -201,8 +218,8 @@ _AT, _DOT = _hash_of("at"), _hash_of("dot")
 
 def hinted(s: TextSlice) -> np.ndarray:
     """True for the texts in which some edit can apply: those with a sign in
-    brackets or beside a blank, the word "dot", invisible characters, or seven
-    names of digits in a row.  Whole slices are looked at without a loop."""
+    brackets or beside a blank, the word "dot", invisible characters, or four
+    digits in a row of which one is a name.  Whole slices are looked at without a loop."""
     n = len(s.data)
     if not n:
         return np.zeros(s.n, bool)
@@ -223,8 +240,8 @@ def hinted(s: TextSlice) -> np.ndarray:
         flags[start[(hashes == _DOT) | (hashes == _AT) & near[start]]] = True
         named = np.isin(hashes, _NAME_HASHES)
         numeric = named | _DIGIT_BYTE[s.data[start]]
-        run = np.concatenate([[0], np.cumsum(numeric)])
-        full = np.flatnonzero(named[: max(0, len(start) - 6)] & (run[7:] - run[:-7] == 7)) if len(start) >= 7 else np.zeros(0, np.int64)
+        run, names = np.concatenate([[0], np.cumsum(numeric)]), np.concatenate([[0], np.cumsum(named)])
+        full = np.flatnonzero((run[4:] - run[:-4] == 4) & (names[4:] > names[:-4]))
         flags[start[full]] = True
     return s.per_text(flags) > 0
 

@@ -56,6 +56,24 @@ def test_disguises(text, want):
     assert p.written(p.all_spans(text)) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("at one nine two dot one six eight dot zero dot one now", "ip:3:50"),
+        ("one zero.zero.zero.one", "ip:0:22"),
+        ("10.zero.zero.one", "ip:0:16"),
+        ("see one dot two dot three dot four", "ip:4:34"),
+        ("one[dot]two[dot]three[dot]four", "ip:0:30"),
+        ("jane at example dot pl", "email:0:22"),
+        ("jane at mail dot example dot dev", "email:0:32"),
+        ("one, two, three, four. five", ""),
+        ("nine nine nine dot one dot one dot one", ""),
+    ],
+)
+def test_short_spoken_forms(text, want):
+    assert p.written(p.all_spans(text)) == want
+
+
 def test_redaction():
     t = "a joe@x.org b 1.2.3.4 c"
     assert p.redacted(t, p.all_spans(t)) == "a [EMAIL] b [IP] c"
