@@ -45,7 +45,7 @@ from .textbatch import TextSlice, mix, range_hash, slices
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 14, 4
-RARE = 1e-2
+RARE = 1e-3
 SPAN = 0.25
 SMALL = 1000
 _RUN = 2_000_000
@@ -100,8 +100,10 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             yield flush(len(held))
 
     texts = docs.select("text")
+    # Runs of too few documents would pass on nearly all they hold.
+    runs = texts.coalesce(max(1, int(RARE * n / 5)))
     # A shingle that passes was in half the share of runs whose counts are here; the rest can add less than the other half.
-    near = texts.mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2)
+    near = runs.mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2)
     candidates = np.sort(near.select("h").toArrow().column("h").combine_chunks().to_numpy().view(_U))
     if not len(candidates):
         return candidates, np.zeros(0)

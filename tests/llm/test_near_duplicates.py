@@ -126,6 +126,14 @@ def test_frequent_counts_are_exact(spark, monkeypatch):
     assert dict(zip(hashes.tolist(), counts.tolist(), strict=True)) == {h: c for h, c in df.items() if c >= 20}
 
 
+def test_shingles_of_half_a_percent_are_counted(spark):
+    texts = [f"a{i} b c d e" if i % 200 else "often said in some texts" for i in range(2000)]
+    hashes, counts = nd._frequent(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 2000)
+    h = nd.shingles(TextSlice(pa.array(["often said in some texts"])))[1]
+    assert counts[hashes == h].tolist() == [10]
+    assert 1 < nd.Weights(hashes, counts, 2000).of(h, np.ones(1))[0] < 1 + nd.SPAN
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(400), r.randrange(400)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
