@@ -203,7 +203,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, shared) -> DataFrame:
     texts = docs.join(wanted, docs.doc_id == wanted.id).select("a", "part", "id", "text", (F.col("id") != F.col("a")).alias("later"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, first = None, (np.zeros(0, _U), np.zeros(0))
+        group, first = None, []  # a doc_id may have several texts
         for batch in batches:
             for part, s in slices(batch):
                 a, p, ids = (part.column(i).to_pylist() for i in range(3))
@@ -214,8 +214,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, shared) -> DataFrame:
                 for i in range(s.n):
                     own = (hashes[cut[i] : cut[i + 1]], weights[cut[i] : cut[i + 1]])
                     if group != (a[i], p[i]):
-                        group, first = (a[i], p[i]), own  # the first document of the group comes first
-                    elif similarity(first, own) >= SIMILAR:
+                        group, first = (a[i], p[i]), [own]  # the first document of the group comes first
+                    elif ids[i] == a[i]:
+                        if not any(np.array_equal(x[0], own[0]) and np.array_equal(x[1], own[1]) for x in first):
+                            first.append(own)
+                    elif any(similarity(x, own) >= SIMILAR for x in first):
                         found.append((a[i], ids[i]))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -274,20 +277,21 @@ def _compared(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
 
 
 def _weighed(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """A row (g, doc_id, h, w, n) for each shingle of the documents of groups
-    (g, doc_id): its weight there and the number of the group's documents with it."""
+    """A row (g, doc_id, t, h, w, n) for each shingle of each text t of the
+    documents of groups (g, doc_id): its weight there and the number of the
+    group's texts with it."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, s in slices(batch):
                 owner, hashes, times = shingles(s)
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(hashes.view(np.int64)), pa.array(shared.value.of(hashes, times))], ["g", "doc_id", "h", "w"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(3)), pa.array(hashes.view(np.int64)), pa.array(shared.value.of(hashes, times))], ["g", "doc_id", "t", "h", "w"])
 
-    rows = docs.join(groups, "doc_id").select("g", "doc_id", "text").mapInArrow(weigh, "g long, doc_id long, h long, w double")
+    rows = docs.join(groups, "doc_id").select("g", "doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(weigh, "g long, doc_id long, t long, h long, w double")
     rows = persist(rows, "weighed")
     counts = persist(rows.groupBy("g", "h").agg(F.count("*").alias("n")), "counted")
-    return rows.join(counts, ["g", "h"]).select("g", "doc_id", "h", "w", "n")
+    return rows.join(counts, ["g", "h"]).select("g", "doc_id", "t", "h", "w", "n")
 
 
 def _centres(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -307,7 +311,7 @@ def _split(rows: DataFrame) -> DataFrame:
     taken until their weight passes 1 - SIMILAR of its own.  Two documents that
     are similar have one of those in common, so each such shingle is a group.
     """
-    own = Window.partitionBy("g", "doc_id")
+    own = Window.partitionBy("g", "doc_id", "t")
     rows = rows.withColumn("all", F.sum("w").over(own)).withColumn("upto", F.sum("w").over(own.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, 0)))
     first = (F.col("upto") - F.col("w") <= (1 - SIMILAR) * F.col("all") * (1 + 1e-9)) & (F.col("n") > 1)
     return rows.where(first).select(F.xxhash64("g", "h").alias("g"), "doc_id").distinct()
@@ -373,10 +377,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     signed = persist(signed, "signed")
     copies = persist(signed.where("worded").groupBy("content").agg(F.min("doc_id").alias("rep")), "reps")
     member = persist(signed.where("worded").select("doc_id", "content").join(copies, "content").select("doc_id", "rep").distinct(), "copies")
-    one = signed.where("worded").join(copies, (signed.content == copies.content) & (signed.doc_id == copies.rep), "left_semi").dropDuplicates(["doc_id"])
+    one = signed.where("worded").join(copies, (signed.content == copies.content) & (signed.doc_id == copies.rep), "left_semi").dropDuplicates(["doc_id", "content"])
     groups = one.select("doc_id", F.posexplode("bands").alias("band", "h")).select("doc_id", F.xxhash64("band", "h").alias("g"))
     several = persist(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "several")
-    groups = persist(groups.join(several, "g"), "groups")
+    groups = persist(groups.join(several, "g").distinct(), "groups")
     # These doc_ids grow with the corpus, so the plan is the one for large tables at every size.
     texts = persist(known.join(groups.select("doc_id").distinct().hint("merge"), "doc_id"), "texts")
     release(spark)

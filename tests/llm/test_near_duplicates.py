@@ -104,6 +104,24 @@ def test_edge_rows(spark, rows):
     assert nd.keep_first(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("small", [256, 2])
+def test_every_text_of_a_doc_id_is_compared(spark, monkeypatch, small):
+    monkeypatch.setattr(nd, "SMALL", small)
+    r = random.Random(5)
+    rows = []
+    for k in range(8):
+        for part in range(3):  # three texts of one doc_id, which is the least, a middle or the greatest one
+            w = [f"w{r.randrange(5000)}" for _ in range(200)]
+            rows.append((10 * k + (0, 5, 9)[k % 3], " ".join(w)))
+            for copy in range(2):
+                w[50 + 70 * copy] = "edit"
+                rows.append((10 * k + 1 + part + (0, 0, 5)[copy], " ".join(w)))
+    want = sorted(set(brute(rows)))
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).distinct().collect()
+    assert sorted((str(x.doc_id), x.class_id) for x in got) == want
+    assert len({c for _, c in want}) == 8
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 62, 300).astype(np.uint64)
