@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
 from .storage import persist, release
-from .textbatch import TextSlice, mix, range_hash, slices
+from .textbatch import TextSlice, mix, slices
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -57,10 +57,10 @@ def shingles(s: TextSlice, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np
     at = s.window_starts(k)
     hashes, owner = s.window_hash(at, k), s.word_text[at] if len(at) else at
     short = np.flatnonzero((s.n_words > 0) & (s.n_words < k))
-    if len(short):
-        first = s.word_offsets[:-1][short]
-        hashes = np.concatenate([hashes, range_hash(s.word_sums, first, first + s.n_words[short], "word")])
-        owner = np.concatenate([owner, short])
+    for n in range(1, k) if len(short) else ():
+        few = short[s.n_words[short] == n]
+        hashes = np.concatenate([hashes, s.run_hash(n)[s.word_offsets[:-1][few]]])
+        owner = np.concatenate([owner, few])
     # By text, then by the upper 44 bits of the hash: one integer sorts far faster than two keys.
     order = np.argsort((owner.astype(_U) << _U(44)) | (hashes >> _U(20)))
     hashes, owner = hashes[order], owner[order]

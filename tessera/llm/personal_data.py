@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textbatch import BYTE_HASH, TextSlice, prefix_sums, range_hash, slices
+from .textbatch import TextSlice, hash_ranges, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -203,13 +203,15 @@ _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
 _OPENS = np.zeros(256, bool)
 _OPENS[list(b"[({<")] = True
+_MEANT = np.zeros(256, bool)
+_MEANT[list(b"aAdD@.")] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _hash_of(word: str) -> np.uint64:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return range_hash(prefix_sums(BYTE_HASH[raw], "byte"), np.array([0]), np.array([len(raw)]), "byte")[0]
+    return hash_ranges(raw, np.array([0]), np.array([len(raw)]))[0]
 
 
 _NAME_HASHES = np.array([_hash_of(w) for w in _DIGIT])
@@ -232,11 +234,14 @@ def hinted(s: TextSlice) -> np.ndarray:
     at, dot = s.data == ord("@"), s.data == ord(".")
     flags = at & (near | blank_before | _BLANK[pad[1 : n + 1]]) | dot & near
     flags |= (s.data == 0xC2) & (pad[1 : n + 1] == 0xAD) | (s.data == 0xE2) & ((pad[1 : n + 1] == 0x80) | (pad[1 : n + 1] == 0x81)) | (s.data == 0xEF) & (pad[1 : n + 1] == 0xBB)
+    # A no-break space or next-line sign before a word or sign that can be meant; wider blanks have been folded.
+    pairs = (s.data == 0xC2) & ((pad[1 : n + 1] == 0xA0) | (pad[1 : n + 1] == 0x85))
+    flags |= pairs & _MEANT[pad[2 : n + 2]]
     inside = _TOKEN[s.data]
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(start):
-        hashes = range_hash(prefix_sums(BYTE_HASH[_LOWERED[s.data]], "byte"), start, end, "byte")
+        hashes = hash_ranges(_LOWERED[s.data], start, end)
         flags[start[(hashes == _DOT) | (hashes == _AT) & near[start]]] = True
         named = np.isin(hashes, _NAME_HASHES)
         numeric = named | _DIGIT_BYTE[s.data[start]]

@@ -50,7 +50,7 @@ def named_grams(s: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = s.window_starts(WINDOW)
     if not len(at):
         return at, at, np.zeros(0, _U)
-    hashes = s.window_hash(np.arange(len(s.starts) - GRAM + 1), GRAM)
+    hashes = s.run_hash(GRAM)
     best, place = hashes[at], at.copy()
     for k in range(1, WINDOW - GRAM + 1):
         other = hashes[at + k]

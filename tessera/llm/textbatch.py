@@ -1,9 +1,10 @@
 """Vectorised views of Arrow text columns: words, hashes and windows.
 
 A ``TextSlice`` wraps a few megabytes of texts as one byte buffer.  Words are
-the runs ``[^\\x20\\x09-\\x0D]+``; hashes are 64-bit sums of table values times
-powers of an odd base (mod 2**64), so that any run of bytes or words has its
-hash from two prefix sums, without a Python loop over words.
+the runs ``[^\\x20\\x09-\\x0D]+``.  A word's 64-bit hash mixes its bytes eight at
+a time, that of a run of words mixes those of its halves; neither is a
+polynomial, whose collisions could be written down (Thue-Morse words).  There is
+no Python loop over words but for those over ``LONG_WORD`` bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -31,40 +33,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+LONG_WORD = 256
+_LENGTH, _NEXT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
-_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
-BYTE_HASH = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_grown: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of one run of words followed by another."""
+    return mix(a * _NEXT + b)
 
 
-def _base_powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _grown.get(kind)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        have = (_powers(_BASE[kind], size), _powers(pow(_BASE[kind], -1, 1 << 64), size))
-        if size <= 4 << 20:
-            _grown[kind] = have
-    return have
-
-
-def prefix_sums(values: np.ndarray, kind: str) -> np.ndarray:
-    up, _ = _base_powers(kind, len(values) + 1)
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``data[start:end]`` for each pair; none is empty."""
+    if not len(start):
+        return np.zeros(0, _U)
+    size, padded = end - start, np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data),), "<u8", buffer=padded, strides=(1,))  # the eight bytes from every place on
+    out = mix((eight[start] & _MASK[np.minimum(size, 8)]) + size.astype(_U) * _LENGTH)
+    left, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(left):
+        out[left] = join_hash(out[left], eight[start[left] + at] & _MASK[np.minimum(size[left] - at, 8)])
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each pair, from ``prefix_sums``."""
-    _, down = _base_powers(kind, len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-
-
 class TextSlice:
     """A few texts side by side; nulls count as empty texts."""
 
@@ -141,17 +136,22 @@ class TextSlice:
     def word_chars(self) -> np.ndarray:
         return self.per_text(self._inside & ((self.data & 0xC0) != 0x80))
 
-    @cached_property
-    def byte_sums(self) -> np.ndarray:
-        return prefix_sums(BYTE_HASH[self.data], "byte")
-
     @cached_property
     def word_hash(self) -> np.ndarray:
-        return range_hash(self.byte_sums, self.starts, self.ends, "byte")
+        return hash_ranges(self.data, self.starts, self.ends)
 
     @cached_property
-    def word_sums(self) -> np.ndarray:
-        return prefix_sums(self.word_hash, "word")
+    def _runs(self) -> dict[int, np.ndarray]:
+        return {1: self.word_hash}
+
+    def run_hash(self, k: int) -> np.ndarray:
+        """Hash of the k words from every word on that k - 1 others follow,
+        whatever text they are in."""
+        if k not in self._runs:
+            half = 1 << (k - 1).bit_length() - 1
+            n = max(0, len(self.starts) - k + 1)
+            self._runs[k] = join_hash(self.run_hash(half)[:n], self.run_hash(k - half)[half : half + n])
+        return self._runs[k]
 
     def window_starts(self, k: int) -> np.ndarray:
         """Words at which a window of k words of one text starts."""
@@ -159,7 +159,7 @@ class TextSlice:
         return np.flatnonzero(left >= k)
 
     def window_hash(self, at: np.ndarray, k: int) -> np.ndarray:
-        return range_hash(self.word_sums, at, at + k, "word")
+        return self.run_hash(k)[at]
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, TextSlice]]:

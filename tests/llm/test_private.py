@@ -47,6 +47,8 @@ def test_base_equals_the_patterns():
         ("four one one one one one one one one one one one one one one one", "card:0:64"),
         ("٤١١١ 1111 1111 1111", "card:0:19"),
         ("ｊoe＠ｅx.ｃom", "email:0:10"),
+        ("joe (\u00a0at\u00a0) example [\u3000dot\u3000] com", "email:0:30"),
+        ("joe@example\u00a0dot\u00a0com", "email:0:19"),
         ("look at this dot and at the dots", ""),
         ("one of the two or three, one two", ""),
         ("Ünï cødé „quotes“ – and dashes", ""),
