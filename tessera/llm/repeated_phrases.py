@@ -7,21 +7,25 @@ over it also starts, word for word, in a document with a smaller doc_id.
    name equal grams, and neighbours mostly the same one, so only about a quarter
    of the words give a row.  Grams that two different texts name are recurring.
 2. Runs of windows that name one recurring gram are cut out and dealt to shards
-   of grams.  A task confirms which windows of a gram two documents have, for it
-   sees all of them; compiles an automaton over the words of the confirmed ones;
-   and streams the runs through it.  Every occurrence after the first document
-   is marked.
-3. A shard that too many runs name is split by document.  Its windows are
-   confirmed by an aggregation instead and go to all of its parts.
+   of grams.  A task takes the windows of a gram that two documents seem to have
+   (by hash), for it sees all of them; compiles an automaton over their words;
+   streams the runs through it; and marks every occurrence after the first
+   document among those that the automaton found, so words decide and not hashes.
+3. The grams of a shard that too many runs name are dealt by window, and a window
+   that too many documents have by document also.  Which windows recur, and where
+   first, an aggregation over (gram, window) tells; its row goes along with each
+   occurrence, so a part has no windows but its own.
 4. Marks go back to their texts.  Exact copies of a text need none of this: all
    windows of a later copy start in the first.
 
 Which grams recur is told to the tasks by a Bloom filter of at most
 ``FILTER_MB``; if more grams recur than it can hold, a join tells them instead.
 
-Edge cases: null counts as an empty text; rows that share a doc_id take nothing
-from each other; null doc_ids are no source and lose nothing; texts under
-``WINDOW`` words stay; an empty table gives no rows; other columns are ignored.
+Edge cases: null counts as an empty text; a very long text is one row of its
+own run and is taken whole; rows that share a doc_id take nothing from each
+other (a window first in two of them has that doc_id as its first); null doc_ids
+are no source and lose nothing; texts under ``WINDOW`` words stay; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,7 +72,8 @@ def _runs(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """A Bloom filter in 64 blocks; a gram's block is in its upper bits."""
+    """A Bloom filter in 64 blocks; a gram's block is in its lower bits, for the
+    upper ones of a least hash are mostly zero."""
 
     def __init__(self, blocks: list[np.ndarray]):
         self.blocks = np.stack(blocks)
@@ -88,7 +93,7 @@ class Filter:
 
     def has(self, grams: np.ndarray) -> np.ndarray:
         bits = (self.blocks.shape[1] * 8).bit_length() - 1
-        block = (grams >> _U(58)).astype(np.intp)
+        block = (grams & _U(_BLOCKS - 1)).astype(np.intp)
         out = np.ones(len(grams), bool)
         for p in Filter.places(grams, bits):
             out &= self.blocks[block, (p >> _U(3)).astype(np.intp)] >> (p & _U(7)).astype(np.uint8) & 1 == 1
@@ -101,9 +106,9 @@ def _filter(grams: DataFrame, n: int) -> Filter:
 
     def build(table: pa.Table) -> pa.Table:
         found = table.column("gram").to_numpy().view(_U)
-        return pa.table({"block": pa.array([int(found[0] >> _U(58))], pa.int32()), "bits": pa.array([Filter.block(found, bits).tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([int(found[0] & _U(_BLOCKS - 1))], pa.int32()), "bits": pa.array([Filter.block(found, bits).tobytes()], pa.binary())})
 
-    keyed = grams.select("gram", F.shiftrightunsigned("gram", 58).cast("int").alias("block"))
+    keyed = grams.select("gram", F.col("gram").bitwiseAND(_BLOCKS - 1).cast("int").alias("block"))
     rows = keyed.groupBy("block").applyInArrow(build, "block int, bits binary").collect()
     blocks = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(_BLOCKS)]
     for r in rows:
@@ -120,9 +125,7 @@ def _recurring(known: DataFrame) -> DataFrame:
                 content = part.column(1).to_numpy()[s.word_text[at[begin]]] if len(at) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(best[begin].view(np.int64)), pa.array(content)], ["gram", "content"])
 
-    # 40 bits of the content's hash: enough to tell two texts apart, and shorter rows.
-    rows = known.select("doc_id", F.col("content").bitwiseAND((1 << 40) - 1).alias("content"), "text")
-    named = rows.mapInArrow(name, "gram long, content long")
+    named = known.mapInArrow(name, "gram long, content long")
     return named.groupBy("gram").agg(F.min("content").alias("x"), F.max("content").alias("y"), F.count("*").alias("n")).where("x < y").select("gram", "n")
 
 
@@ -166,43 +169,50 @@ def _cut(known: DataFrame, emit: Callable, schema: str, grams: DataFrame) -> Dat
     return known.join(lists, ["doc_id", "content"]).select("doc_id", "content", "text", "grams").mapInArrow(run_joined, schema)
 
 
+def _pieces(s: TextSlice, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The source from the first to the last word of each run."""
+    raw = s.data.tobytes()
+    return pa.array([raw[a:b] for a, b in zip(s.starts[first], s.ends[last], strict=True)], pa.binary()).cast(pa.string())
+
+
 def _emit_windows(part, s: TextSlice, at, begin, end, best) -> pa.RecordBatch:
     length = end - begin + 1
     index = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(begin) else begin
     first = at[index]
     owner = s.word_text[first]
-    return pa.RecordBatch.from_arrays([pa.array(best[index].view(np.int64)), pa.array(s.window_hash(first, WINDOW).view(np.int64)), part.column(0).take(pa.array(owner))], ["gram", "window", "doc_id"])
+    start = (first - s.word_offsets[:-1][owner]).astype(np.int64)
+    take = pa.array(owner)
+    return pa.RecordBatch.from_arrays([pa.array(best[index].view(np.int64)), pa.array(s.window_hash(first, WINDOW).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int64()), _pieces(s, first, first + WINDOW - 1)], ["gram", "window", "doc_id", "content", "start", "text"])
 
 
 def _emit_runs(part, s: TextSlice, at, begin, end, best) -> pa.RecordBatch:
     first, last = at[begin], at[end] + WINDOW - 1
     owner = s.word_text[first]
-    raw = s.data.tobytes()
-    texts = [raw[a:b] for a, b in zip(s.starts[first], s.ends[last], strict=True)]
     start = (first - s.word_offsets[:-1][owner]).astype(np.int64) if len(first) else first
     take = pa.array(owner)
-    return pa.RecordBatch.from_arrays([pa.array(best[begin].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["gram", "doc_id", "content", "start", "text"])
+    return pa.RecordBatch.from_arrays([pa.array(best[begin].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int64()), _pieces(s, first, last)], ["gram", "doc_id", "content", "start", "text"])
 
 
-def _confirmed(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that two documents have, in order, and the least doc_id of each."""
+def _confirmed(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Windows that two documents have, in order."""
     order = np.argsort(hashes)
     hashes, docs = hashes[order], docs[order]
     begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    first, last = np.minimum.reduceat(docs, begin), np.maximum.reduceat(docs, begin)
-    several = first < last
-    return hashes[begin[several]], first[several]
+    return hashes[begin[np.minimum.reduceat(docs, begin) < np.maximum.reduceat(docs, begin)]]
 
 
-def scan(s: TextSlice, docs: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[tuple[int, int]]]:
-    """(word, least doc_id) of every occurrence of a confirmed window in the
-    runs.  Without ``known`` the runs have all windows of their grams, and which
-    are confirmed follows from them."""
+def scan(s: TextSlice, docs: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[int]]:
+    """The words at which a window starts that a smaller doc_id has, for each run.
+
+    Without ``known`` the runs have all windows of their grams, and what the
+    automaton finds tells the least doc_id of each window.  Otherwise ``known``
+    has the windows and their least doc_ids.
+    """
     at = s.window_starts(WINDOW)
     hashes = s.window_hash(at, WINDOW)
     owner = s.word_text[at]
-    windows, first = known if known is not None else _confirmed(hashes, docs[owner])
-    out: list[list[tuple[int, int]]] = [[] for _ in range(s.n)]
+    windows = known[0] if known is not None else _confirmed(hashes, docs[owner]) if len(at) else hashes
+    out: list[list[int]] = [[] for _ in range(s.n)]
     if not len(windows):
         return out
     found = np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)
@@ -223,25 +233,38 @@ def scan(s: TextSlice, docs: np.ndarray, known: tuple[np.ndarray, np.ndarray] |
     chosen = hit[sample]
     owners, places = owner[chosen], at[chosen]
     places = places - s.word_offsets[:-1][owners]
-    for i, p, doc in zip(owners.tolist(), places.tolist(), first[found[chosen]].tolist(), strict=True):
-        automaton.add_word(spelled[i][p : p + WINDOW], doc)
+    for i, p, k in zip(owners.tolist(), places.tolist(), found[chosen].tolist(), strict=True):
+        automaton.add_word(spelled[i][p : p + WINDOW], k)
     automaton.make_automaton()
-    for i, doc in zip(runs.tolist(), docs[runs].tolist(), strict=True):
-        out[i] = [(end - WINDOW + 1, least) for end, least in automaton.iter(spelled[i]) if least < doc]
+    seen = [(i, end - WINDOW + 1, k) for i in runs.tolist() for end, k in automaton.iter(spelled[i])]
+    which, place, window = np.array(seen, np.int64).reshape(-1, 3).T
+    if known is not None:
+        first = known[1]
+    else:
+        first = np.full(len(windows), np.iinfo(np.int64).max)
+        np.minimum.at(first, window, docs[which])
+    later = first[window] < docs[which]
+    for i, p in zip(which[later].tolist(), place[later].tolist(), strict=True):
+        out[i].append(p)
     return out
 
 
 def _locate(rows: DataFrame) -> DataFrame:
-    """doc_id, content, begin, end: stretches of words to remove."""
+    """doc_id, content, begin, end: stretches of words to remove, of rows (gram,
+    doc_id, content, start, text, window, first) in order of shard, part and
+    gram; first is null unless the shard is split."""
 
-    def marked(block: list[pa.RecordBatch], known: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    def marked(block: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(block).combine_chunks()
         doc, content, start = (table.column(n).to_numpy() for n in ("doc_id", "content", "start"))
+        known = None
+        if table.column("first").null_count == 0:
+            windows, index = np.unique(table.column("window").to_numpy().view(_U), return_index=True)
+            known = windows, table.column("first").to_numpy()[index]
         out: list[tuple[int, int, int, int]] = []
-        hits = scan(TextSlice(table.column("text").combine_chunks()), doc, known)
-        for i, found in enumerate(hits):
+        for i, found in enumerate(scan(TextSlice(table.column("text").combine_chunks()), doc, known)):
             begin = end = None
-            for p, _ in found:
+            for p in found:
                 if end is not None and p <= end:
                     end = p + WINDOW
                     continue
@@ -253,47 +276,23 @@ def _locate(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["doc_id", "content", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, split, block, size = None, False, [], 0
-        windows: list[np.ndarray] = []
-        least: list[np.ndarray] = []
-        known = None
-        last_gram = None
-
-        def given() -> tuple[np.ndarray, np.ndarray] | None:
-            """The windows of a split shard, in order."""
-            nonlocal known
-            if split and known is None:
-                found, doc = np.concatenate([*windows, np.zeros(0, _U)]), np.concatenate([*least, np.zeros(0, np.int64)])
-                order = np.argsort(found)
-                known = found[order], doc[order]
-            return known if split else None
-
+        block: list[pa.RecordBatch] = []
+        size, last = 0, None
         for batch in batches:
-            part = np.stack([batch.column(i).to_numpy() for i in range(2)])
-            gram, kinds, splits = batch.column(3).to_numpy(), batch.column(2).to_numpy(), batch.column(9).to_numpy()
-            sizes = np.diff(TextSlice(batch.column(8)).offsets)
-            new = np.append(True, (gram[1:] != gram[:-1]) | (part[:, 1:] != part[:, :-1]).any(0) | (kinds[1:] != kinds[:-1]))
-            cuts = np.append(np.flatnonzero(new), batch.num_rows)
-            total = np.concatenate([[0], np.cumsum(sizes)])
+            gram, split = batch.column(0).to_numpy(), batch.column(6).is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.concatenate([[0], np.cumsum(np.diff(TextSlice(batch.column(4)).offsets))])
+            # What belongs together: all runs of a gram, or a single window of a split shard.
+            cuts = np.append(np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | split[1:] | split[:-1])), batch.num_rows)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                key = (int(part[0, a]), int(part[1, a]))
-                fresh = key != shard
-                # A block ends between grams once it is large, and with its shard.
-                if block and (fresh or size >= BLOCK_BYTES and (last_gram != gram[a] or split)):
-                    yield marked(block, given())
+                # A block ends between grams once it is large, and where split shards begin or end.
+                if block and (size >= BLOCK_BYTES and (split[a] or last[0] != gram[a]) or last[1] != split[a]):
+                    yield marked(block)
                     block, size = [], 0
-                if fresh:
-                    shard, split, windows, least, known = key, bool(splits[a]), [], [], None
-                rows = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    windows.append(rows.column(7).to_numpy().view(_U))
-                    least.append(rows.column(4).to_numpy())
-                else:
-                    block.append(rows)
-                    size += int(total[b] - total[a])
-                last_gram = gram[a]
+                block.append(batch.slice(a, b - a))
+                size += int(sizes[b] - sizes[a])
+                last = gram[a], split[a]
         if block:
-            yield marked(block, given())
+            yield marked(block)
 
     return rows.mapInArrow(run, "doc_id long, content long, begin long, end long")
 
@@ -307,22 +306,22 @@ def marks(known: DataFrame) -> DataFrame:
     shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard")
     parts = F.when(F.sum("n") > 3 * SHARD_RUNS, F.ceil(F.sum("n") / SHARD_RUNS)).otherwise(1).cast("int")
     large = persist(grams.groupBy(shard).agg(parts.alias("parts")).where("parts > 1"), "large")
-    none, schema = F.lit(None), "gram long, doc_id long, content long, start long, text string"
-    runs = _cut(known, _emit_runs, schema, grams).select(shard, "gram", "doc_id", "content", "start", none.cast("long").alias("window"), "text")
+    none = F.lit(None).cast("long")
+    runs = _cut(known, _emit_runs, "gram long, doc_id long, content long, start long, text string", grams)
     # A row for each large shard: fewer than one in three of all.
-    runs = runs.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    place = F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")
-    rows = runs.select("shard", place.alias("part"), F.lit(1).alias("kind"), "gram", "doc_id", "content", "start", "window", "text", (F.col("parts") > 1).cast("int").alias("split"))
+    whole = runs.withColumn("shard", shard).join(large, "shard", "left_anti")
+    rows = whole.select("shard", F.lit(0).alias("part"), "gram", "doc_id", "content", "start", "text", none.alias("window"), none.alias("first"))
     if not large.isEmpty():
         hot = grams.select("gram", shard).join(large, "shard").select("gram")
-        # The filter may let other grams through; their windows are confirmed as well, and are no harm.
-        windows = _cut(known, _emit_windows, "gram long, window long, doc_id long", hot)
-        found = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        found = found.select(shard, "gram", "window", "first").join(large, "shard")
-        zero = F.lit(0).cast("long")
-        rows = rows.union(found.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0), zero, F.col("first"), zero, zero, "window", none.cast("string"), F.lit(1)))
-    dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "gram")
-    return persist(_locate(dealt), "marks")
+        # The filter may let other grams through; those of whole shards are dealt with above.
+        windows = _cut(known, _emit_windows, "gram long, window long, doc_id long, content long, start long, text string", hot)
+        windows = persist(windows.withColumn("shard", shard).join(large, "shard"), "windows")
+        found = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.ceil(F.count("*") / SHARD_RUNS).alias("parts_of_it"))
+        found = persist(found.where("first < last").select("gram", "window", "first", "parts_of_it"), "found")
+        place = F.pmod(F.xxhash64("window", F.pmod(F.xxhash64("doc_id", "start"), "parts_of_it")), "parts").cast("int")
+        rows = rows.union(windows.join(found, ["gram", "window"]).select("shard", place, "gram", "doc_id", "content", "start", "text", "window", "first"))
+    dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "gram")
+    return persist(_locate(dealt.drop("shard", "part")), "marks")
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
