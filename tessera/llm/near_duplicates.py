@@ -1,33 +1,45 @@
 """Near duplicates by improved consistent weighted sampling (ICWS).
 
 A document is the weighted set of its shingles of five words (of all its words
-if it has fewer); a shingle weighs its count in the document times
-``1 + SPAN * min(1, log(N / df) / log(1 / RARE))``.  The span is small, so that
-the edits of a text that thousands copy, rare beside its own shingles, don't
-weigh so much more that its near copies fall apart.  Shingles in at least ``RARE * N`` documents are counted
-exactly over all documents: a run of rows passes on the shingles that are in
-half that share of it, so none can be missed (a shingle that frequent overall is
-as frequent in some run), then the candidates are counted.  Their number is at
-most shingles-per-document / RARE whatever N is, so they can be broadcast.
+if it has fewer).  A shingle weighs its count in the document times the smooth
+inverse document frequency ``1 + SPAN * min(1, log(N / df) / log(1 / RARE))``, from 1
+for one that all documents have to 2 for one in at most 0.1 % of them.  The
+logarithm is scaled by its largest value, for a bare one lets the near copies of a
+text that a third of all documents repeat fall apart: their edits, rare beside
+their own shingles, would weigh four times as much.  Shingles in at least
+``RARE * N`` documents are counted exactly over all documents: a run of rows
+passes on the shingles that are in half that share of it, so none can be missed
+(a shingle that frequent overall is as frequent in some run), then the candidates
+are counted.  Their number is at most shingles-per-document / RARE whatever N is,
+so they can be broadcast.
 
 ICWS draws for every sample one shingle with its level, equal in two documents
 with the probability of their weighted Jaccard similarity.  ``BANDS`` groups of
-``ROWS`` samples are hashed.  Within a group of equal hashes every document is
-compared with the first one, so a large group of copies costs a row for each
-member and not a pair for each two.  If that leaves a group of more than one
-component, every two of its documents that aren't connected are compared: in
-groups of up to ``SMALL`` outright, in larger ones after a second star around the
-most central document (``_centres``) and within the shingles that a similar pair
-must share (``_split``).
-Every link is verified by the weighted
-Jaccard similarity of the whole texts; classes are the connected components.
-
-Exact copies are put together first and stand for one document.
+``ROWS`` samples are hashed: two documents with a similarity of 0.8 share a group
+with a probability of 0.999.  Links are found in three steps, however large a
+group is, and each link is verified by the weighted Jaccard similarity of the
+whole texts:
+
+1. In every group all documents are compared with two of them: that with the most
+   company in all its groups, and one by chance.  A group of copies costs two
+   rows for each member and not a pair for each two.
+2. The documents of groups that this leaves in several components are joined by
+   prefix: shingles rare among them come first, and two similar documents share
+   one while enough weight is left in both to be similar (``_prefixes``).  Of two
+   components the most promising pairs are compared first.
+3. All pairs of that join that are still unconnected are compared.
+
+Documents that share most of a template but not 0.8 of their weight end in step 2:
+what is left of them from the first shared shingle on is too little for a pair.
+Classes are the connected components.  Exact copies are put together first and
+stand for one document.
 
 Edge cases: null counts as an empty text; texts without a word aren't copies of
-anything and stay a class each; repeated rows and doc_ids fall together;
-null doc_ids take no part and get a null class; an empty table gives no rows;
-other columns pass through ``keep_first``.
+anything and stay a class each; very long texts are compared whole, and fewer of
+them meet in one task; repeated rows and doc_ids fall together; equal rank of two
+documents is decided by the smaller doc_id; null doc_ids take no part and get a
+null class; an empty table gives no rows; other columns pass through
+``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,15 +51,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .storage import persist, release
+from .storage import fresh_name, persist, release
 from .textbatch import TextSlice, mix, slices
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 14, 4
 RARE = 1e-3
-SPAN = 0.25
-SMALL = 1000
+SPAN = 1.0
+#: A task compares documents in blocks of at most this many, and of this many shingles unless one has more.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 _RUN = 2_000_000
 _U = np.uint64
 
@@ -190,169 +203,149 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (float(wa.sum()) + float(wb.sum()) - shared)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shared) -> DataFrame:
-    """a, b of the pairs (a, b) that are similar.
+def _verified(docs: DataFrame, dealt: DataFrame, shared) -> DataFrame:
+    """a, b of the pairs in (key, a, b) that are similar.
 
-    Texts go to their pairs once for each: all members to their first document,
-    which is repeated for every 256 members, so none needs all of a group.
+    Texts go to a key once each.  A task holds the left documents of one key and
+    streams the right ones past them, each with the list of those it asks for.
     """
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 30)).alias("x"))
-    sizes = persist(dealt.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts")), "sizes")
-    dealt = dealt.join(sizes, "a").select("a", "b", F.pmod("x", F.col("parts")).alias("part"))
-    wanted = dealt.select("a", "part", F.col("b").alias("id")).union(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    texts = docs.join(wanted, docs.doc_id == wanted.id).select("a", "part", "id", "text", (F.col("id") != F.col("a")).alias("later"))
+    right = dealt.groupBy("key", F.col("b").alias("id")).agg(F.collect_set("a").alias("asks")).withColumn("side", F.lit(1))
+    left = dealt.select("key", F.col("a").alias("id")).distinct().select("key", "id", F.lit(None).cast("array<long>").alias("asks"), F.lit(0).alias("side"))
+    texts = docs.join(left.union(right), docs.doc_id == F.col("id")).select("key", "side", "id", "asks", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, first = None, []  # a doc_id may have several texts
+        key, held = None, {}  # the texts of each left document: a doc_id may have several
         for batch in batches:
             for part, s in slices(batch):
-                a, p, ids = (part.column(i).to_pylist() for i in range(3))
+                keys, sides, ids, asks = (part.column(i).to_pylist() for i in range(4))
                 owner, hashes, times = shingles(s)
                 weights = shared.value.of(hashes, times)
                 cut = np.searchsorted(owner, np.arange(s.n + 1))
-                found = []
+                found = set()
                 for i in range(s.n):
+                    if keys[i] != key:
+                        key, held = keys[i], {}
                     own = (hashes[cut[i] : cut[i + 1]], weights[cut[i] : cut[i + 1]])
-                    if group != (a[i], p[i]):
-                        group, first = (a[i], p[i]), [own]  # the first document of the group comes first
-                    elif ids[i] == a[i]:
-                        if not any(np.array_equal(x[0], own[0]) and np.array_equal(x[1], own[1]) for x in first):
-                            first.append(own)
-                    elif any(similarity(x, own) >= SIMILAR for x in first):
-                        found.append((a[i], ids[i]))
+                    if sides[i] == 0:
+                        held.setdefault(ids[i], []).append((own[0].copy(), own[1].copy()))
+                    else:
+                        found.update((a, ids[i]) for a in asks[i] if any(similarity(x, own) >= SIMILAR for x in held[a]))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return texts.repartition("a", "part").sortWithinPartitions("a", "part", "later", "id").mapInArrow(compare, "a long, b long")
+    return texts.repartition("key").sortWithinPartitions("key", "side", "id").mapInArrow(compare, "a long, b long")
 
 
-def _compared(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """Links (a, b) that join the documents of groups (g, doc_id, root, n):
-    every two of different roots are compared unless a link has joined them.
+def _stars(groups: DataFrame) -> DataFrame:
+    """(key, a, b) for groups (g, doc_id, n) of n documents: each member b with
+    the member that has the most company in all its groups, and with one by chance."""
+    company = groups.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    ranked = groups.join(company, "doc_id")
+    chance = F.xxhash64("doc_id", "g")
+    centres = persist(ranked.groupBy("g").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("most"), F.min_by("doc_id", F.struct(chance, "doc_id")).alias("any")), "centres")
+    pairs = groups.join(centres, "g").select(F.explode(F.array("most", "any")).alias("a"), F.col("doc_id").alias("b"), "n").where("a <> b")
+    # Pairs of small groups come from either side; the number of a centre's parts follows its largest group.
+    pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
+    return pairs.select(F.xxhash64("a", "n", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))).alias("key"), "a", "b")
 
-    Groups of up to ``SMALL`` are dealt whole.  In a larger one only what is
-    outside its most frequent root leads, in parts of about ``SMALL``, and all
-    the group follows each part, in slices of about ``4 * SMALL``.
-    """
-    small = groups.where(F.col("n") <= SMALL).select("doc_id", "root", F.xxhash64("g").alias("key"), F.lit(0).alias("role"))
-    large = groups.where(F.col("n") > SMALL)
-    tallies = large.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    facts = persist(tallies.select("g", "main", F.ceil((F.col("all") - F.col("most")) / SMALL).alias("parts"), F.ceil(F.col("all") / (4 * SMALL)).alias("slices")), "dealt")
-    large = large.join(facts, "g").withColumn("part", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
-    leads = large.where("part is not null").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    # Leads meet each other in the first slice only; role 2 follows.
-    leads = leads.select("doc_id", "root", F.xxhash64("g", "part", "slice").alias("key"), F.when(F.col("slice") == 0, 0).otherwise(1).alias("role"))
-    follow = large.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part is null or part <> to")
-    follow = follow.select("doc_id", "root", F.xxhash64("g", "to", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices"))).alias("key"), F.lit(2).alias("role"))
-    texts = docs.join(small.union(leads).union(follow), "doc_id").select("key", "role", "doc_id", "root", "text")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, set_of, joined = None, [], [], {}
-        for batch in batches:
-            for part, s in slices(batch):
-                keys, roles, ids, roots = (part.column(i).to_pylist() for i in range(4))
-                owner, hashes, times = shingles(s)
-                weights = shared.value.of(hashes, times)
-                cut = np.searchsorted(owner, np.arange(s.n + 1))
-                found = []
-                for i in range(s.n):
-                    if keys[i] != group:
-                        group, held, set_of, joined = keys[i], [], [], {}
-                    own = (hashes[cut[i] : cut[i + 1]], weights[cut[i] : cut[i + 1]])
-                    total, mine = float(own[1].sum()), roots[i]
-                    while mine in joined:
-                        mine = joined[mine]
-                    if roles[i] != 1:
-                        for j, (other, x, size) in enumerate(held):
-                            if set_of[j] != mine and SIMILAR * max(size, total) <= min(size, total) and similarity(x, own) >= SIMILAR:
-                                found.append((other, ids[i]))
-                                joined[mine] = new = set_of[j]
-                                set_of = [new if k == mine else k for k in set_of]
-                                mine = new
-                    if roles[i] != 2:
-                        held.append((ids[i], own, total))
-                        set_of.append(mine)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, root) of the documents in groups with more than one component."""
+    named = persist(groups.join(roots, groups.doc_id == roots.vertex, "left").select("g", "doc_id", F.coalesce("root", "doc_id").alias("root")), "named")
+    several = persist(named.groupBy("g").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("g"), "open")
+    return persist(named.join(several, "g").select("doc_id", "root").distinct(), "left")
 
-    return texts.repartition("key").sortWithinPartitions("key", "role", "doc_id").mapInArrow(compare, "a long, b long")
 
+def _prefixes(docs: DataFrame, shared) -> DataFrame:
+    """(doc_id, h, p, w): shingles by which similar documents must meet.
 
-def _weighed(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """A row (g, doc_id, t, h, w, n) for each shingle of each text t of the
-    documents of groups (g, doc_id): its weight there and the number of the
-    group's texts with it."""
+    In order of their number among the documents, rare first, p is the weight
+    before the shingle and w that of the whole text.  If two texts are similar,
+    the weight that they share is at least t / (1 + t) of the sum of theirs for
+    t = SIMILAR, and all of it comes from their first shared shingle on.  So that
+    one has p <= (1 - t) * w in both, and p <= (1 - t) / (1 + t) * w in the lighter.
+    """
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, s in slices(batch):
                 owner, hashes, times = shingles(s)
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(3)), pa.array(hashes.view(np.int64)), pa.array(shared.value.of(hashes, times))], ["g", "doc_id", "t", "h", "w"])
+                weights, take = shared.value.of(hashes, times), pa.array(owner)
+                whole = np.bincount(owner, weights, minlength=s.n)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(2)), pa.array(hashes.view(np.int64)), pa.array(weights), pa.array(whole[owner])], ["doc_id", "t", "h", "x", "w"])
 
-    rows = docs.join(groups, "doc_id").select("g", "doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(weigh, "g long, doc_id long, t long, h long, w double")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(weigh, "doc_id long, t long, h long, x double, w double")
     rows = persist(rows, "weighed")
-    counts = persist(rows.groupBy("g", "h").agg(F.count("*").alias("n")), "counted")
-    return rows.join(counts, ["g", "h"]).select("g", "doc_id", "t", "h", "w", "n")
-
-
-def _centres(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each group's most central document, that with the most
-    frequent shingles, and those of other roots."""
-    scores = rows.groupBy("g", "doc_id").agg((F.sum(F.col("w") * F.col("n")) / F.sum("w")).alias("score"))
-    centre = scores.groupBy("g").agg(F.max_by("doc_id", F.struct("score", "doc_id")).alias("a"))
-    centre = persist(centre.join(groups.select("g", F.col("doc_id").alias("a"), F.col("root").alias("own")), ["g", "a"]), "centre")
-    return groups.join(centre, "g").where("root <> own").select("a", F.col("doc_id").alias("b")).distinct()
-
-
-def _split(rows: DataFrame) -> DataFrame:
-    """Large groups, as ``_weighed`` gives them, as smaller ones that lose no
-    similar pair.
-
-    In order of their number in the group, rare first, a document's shingles are
-    taken until their weight passes 1 - SIMILAR of its own.  Two documents that
-    are similar have one of those in common, so each such shingle is a group.
-    """
-    own = Window.partitionBy("g", "doc_id", "t")
-    rows = rows.withColumn("all", F.sum("w").over(own)).withColumn("upto", F.sum("w").over(own.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, 0)))
-    first = (F.col("upto") - F.col("w") <= (1 - SIMILAR) * F.col("all") * (1 + 1e-9)) & (F.col("n") > 1)
-    return rows.where(first).select(F.xxhash64("g", "h").alias("g"), "doc_id").distinct()
-
-
-def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of the groups (g, doc_id) that have more than one component, as
-    (g, doc_id, root, n); equal groups of several bands are one."""
-    named = persist(groups.join(roots, groups.doc_id == roots.vertex, "left").select("g", "doc_id", F.coalesce("root", "doc_id").alias("root")), "named")
-    facts = named.groupBy("g").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"))
-    facts = persist(facts.where("open").groupBy("n", "sum").agg(F.min("g").alias("g")), "open")
-    return persist(named.join(facts.select("g", "n"), "g"), "left")
+    counts = persist(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counted")
+    # Those that one text has come first in the order and meet nothing: their weight is what the others leave.
+    own = Window.partitionBy("doc_id", "t")
+    p = F.col("w") - F.sum("x").over(own) + F.sum("x").over(own.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("x")
+    out = rows.join(counts, "h").select("doc_id", "h", "w", p.alias("p")).where(F.col("p") <= (1 - SIMILAR + 1e-6) * F.col("w"))
+    return persist(out, "prefixes")
+
+
+def _candidates(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b, their roots ra, rb and weights wa, wb, and the similarity that
+    their prefixes allow, for the pairs of different roots that can be similar."""
+    rows = prefixes.join(roots, prefixes.doc_id == roots.vertex, "left").select("h", "doc_id", F.coalesce("root", "doc_id").alias("root"), "p", "w")
+    rows = rows.withColumn("strong", F.col("p") <= ((1 - SIMILAR) / (1 + SIMILAR) + 1e-6) * F.col("w"))
+    tallies = rows.groupBy("h", "root").agg(F.count("*").alias("n"), F.max("strong").alias("strong"))
+    keys = tallies.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.min("root") < F.max("root")).alias("several"), F.max("strong").alias("any"))
+    keys = persist(keys.where("several and any").select("h", "main"), "keys")
+    # Within the most frequent component of a shingle no pair is wanted, so only the others lead.
+    rows = persist(rows.join(keys, "h").withColumn("leads", F.col("root") != F.col("main")), "keyed")
+    left = rows.where("strong").select("h", "leads", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("p").alias("pa"), F.col("w").alias("wa"))
+    right = rows.select("h", "leads", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("p").alias("pb"), F.col("w").alias("wb"))
+    shared = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb"))
+    bound = shared / (F.col("wa") + F.col("wb") - shared)
+    fits = (F.col("ra") != F.col("rb")) & (F.col("wa") <= F.col("wb") * (1 + 1e-9)) & (bound >= SIMILAR * (1 - 1e-6))
+    both = left.where("leads").drop("leads").join(right.drop("leads"), "h").union(left.where("not leads").drop("leads").join(right.where("leads").drop("leads"), "h"))
+    return both.where(fits).select("a", "b", "ra", "rb", "wa", "wb", bound.alias("bound"))
+
+
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(key, a, b) of candidates: pairs of the component that has the most of
+    them go by blocks of its documents and blocks of their partners."""
+    pairs = persist(pairs, "pairs")
+    number = persist(pairs.select(F.explode(F.array("ra", "rb")).alias("root")).groupBy("root").agg(F.count("*").alias("n")), "number")
+    ranked = pairs.join(number.select(F.col("root").alias("ra"), F.col("n").alias("na")), "ra").join(number.select(F.col("root").alias("rb"), F.col("n").alias("nb")), "rb")
+    swap = F.struct("na", "ra") > F.struct("nb", "rb")
+    # From here on b is of the component that has the most pairs, the hub.
+    turned = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("wa", "wb", "wa"), ("wb", "wa", "wb"), ("rb", "ra", "hub"))]
+    turned = persist(ranked.select(*turned), "turned")
+
+    def parts(side: str, weight: str, name: str) -> DataFrame:
+        each = turned.groupBy("hub", side).agg(F.max(weight).alias("w"))
+        return each.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("w") / BLOCK_SHINGLES)).alias(name))
+
+    sizes = persist(parts("a", "wa", "left").join(parts("b", "wb", "right"), "hub"), "sizes")
+    key = F.xxhash64("hub", F.pmod(F.xxhash64("a"), "left"), F.lit(1), F.pmod(F.xxhash64("b"), "right"))
+    return turned.join(sizes, "hub").select(key.alias("key"), "a", "b")
 
 
 def _links(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """Links (a, b) within groups (g, doc_id), as the module's text says."""
-    # Written, so that the join below is of two plain shuffles, of which Spark can split the large parts.
-    first = persist(groups.groupBy("g").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "first")
-    asked = persist(groups.join(first, "g").select("g", "a", F.col("doc_id").alias("b")).where("a <> b"), "asked")
-    if asked.isEmpty():
-        return asked.select("a", "b")
-    found = persist(_verified(docs, asked.select("a", "b").distinct(), shared), "similar")
-    left = _open(groups, components(found))
-    few, many = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
-    if not few.isEmpty():
-        found = persist(found.union(_compared(docs, few, shared)).distinct(), "found")
-    if many.isEmpty():
-        return found
-    rows = persist(_weighed(docs, many.select("g", "doc_id"), shared), "rows")
-    found = persist(found.union(_verified(docs, _centres(rows, many), shared)).distinct(), "found")
+    """Links (a, b) of groups (g, doc_id, n), as the module's text says."""
+    found = persist(_verified(docs, _stars(groups), shared), "links-a")
     roots = persist(components(found), "roots")
-    still = _open(many.select("g", "doc_id"), roots)
-    if still.isEmpty():
+    left = _open(groups, roots)
+    if left.isEmpty():
         return found
-    parts = persist(_split(rows.join(still.select("g").distinct(), "g", "left_semi")), "split")
-    left = _open(parts, roots)
-    return found if left.isEmpty() else persist(found.union(_compared(docs, left, shared)).distinct(), "found")
+    prefixes = _prefixes(docs.join(left.select("doc_id").hint("merge"), "doc_id", "left_semi"), shared)
+    pairs = _candidates(prefixes, roots)
+    two = (F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("s"), F.pmod(F.xxhash64("a", "b"), F.lit(4)).alias("k"))
+    best = pairs.groupBy(*two).agg(F.max_by(F.struct("a", "b", "ra", "rb", "wa", "wb"), F.struct("bound", "a", "b")).alias("x")).select("x.*").distinct()
+    found = persist(found.union(_verified(docs, _blocks(best), shared)), "links-b")
+    roots = persist(components(found), "roots")
+    rest = _candidates(prefixes, roots).select("a", "b", "ra", "rb", "wa", "wb").distinct()
+    return persist(found.union(_verified(docs, _blocks(rest), shared)).distinct(), "links-c")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least doc_id of the class) of every row."""
+    """doc_id, class_id (least doc_id of the class) and n_links of every row.
+
+    n_links is the number of verified links that the document has: texts that it
+    was compared with and found similar, and for a copy of an equal text the link
+    to the least doc_id with it.  Pairs that other links connect are not compared.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
@@ -379,26 +372,28 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     member = persist(signed.where("worded").select("doc_id", "content").join(copies, "content").select("doc_id", "rep").distinct(), "copies")
     one = signed.where("worded").join(copies, (signed.content == copies.content) & (signed.doc_id == copies.rep), "left_semi").dropDuplicates(["doc_id", "content"])
     groups = one.select("doc_id", F.posexplode("bands").alias("band", "h")).select("doc_id", F.xxhash64("band", "h").alias("g"))
-    several = persist(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "several")
+    several = persist(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "several")
     groups = persist(groups.join(several, "g").distinct(), "groups")
     # These doc_ids grow with the corpus, so the plan is the one for large tables at every size.
-    texts = persist(known.join(groups.select("doc_id").distinct().hint("merge"), "doc_id"), "texts")
+    texts = persist(known.join(groups.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     release(spark)
     links = _links(texts, groups, shared)
     # A doc_id with several texts links their classes.
-    links = links.union(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    links = persist(links.union(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "all-links")
     roots = components(links)
-    return rows.select("doc_id").join(roots, rows.doc_id == roots.vertex, "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
+    out = rows.select("doc_id").join(roots, rows.doc_id == roots.vertex, "left").join(ends, F.col("doc_id") == F.col("v"), "left")
+    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every class, that of its least doc_id, with all columns; of
     rows that share that doc_id, one.  Rows with a null doc_id stay."""
     found = persist(classes(docs, id_col=id_col, text_col=text_col), "classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    again = persist(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "again")
+    gone = persist(found.where("doc_id <> class_id").select(F.col("doc_id").alias(fresh_name(docs, "gone"))).distinct(), "gone")
+    left = docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    again = persist(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(fresh_name(docs, "again"))), "again")
     if again.isEmpty():
         return left
-    once = left.join(again, left[id_col] == again["__again"], "left_anti")
-    return once.union(left.join(again, left[id_col] == again["__again"], "left_semi").dropDuplicates([id_col]))
+    same = left[id_col] == again[again.columns[0]]
+    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([id_col]))

@@ -26,6 +26,14 @@ def persist(df: DataFrame, name: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Spark deletes shuffle files once the JVM has collected what refers to
     them; after a large step this asks for that, so disk isn't held until the

@@ -66,9 +66,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("small", [256, 2])
+@pytest.mark.parametrize("small", [nd.BLOCK, 2])
 def test_classes_equal_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "BLOCK", small)
     rows = corpus()
     got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((str(r.doc_id), r.class_id) for r in got) == brute(rows)
@@ -76,10 +76,10 @@ def test_classes_equal_all_pairs(spark, monkeypatch, small):
     assert sorted(str(r.doc_id) for r in kept) == sorted({str(c) for _, c in brute(rows)})
 
 
-@pytest.mark.parametrize("small", [256, 8])
+@pytest.mark.parametrize("small", [nd.BLOCK, 8])
 def test_edited_copies_join_around_an_original_of_any_id(spark, monkeypatch, small):
     """Copies are similar to the original, not to each other."""
-    monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "BLOCK", small)
     r = random.Random(31)
     rows = []
     for k in range(3):
@@ -104,9 +104,9 @@ def test_edge_rows(spark, rows):
     assert nd.keep_first(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("small", [256, 2])
+@pytest.mark.parametrize("small", [nd.BLOCK, 2])
 def test_every_text_of_a_doc_id_is_compared(spark, monkeypatch, small):
-    monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "BLOCK", small)
     r = random.Random(5)
     rows = []
     for k in range(8):
@@ -167,3 +167,33 @@ def test_components(spark):
         root[max(p, q)] = min(p, q)
     want = {(v, find(v)) for e in links for v in e if e[0] != e[1]}
     assert {tuple(x) for x in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+def test_template_families_below_the_threshold_end(spark, monkeypatch):
+    """85 % of each text is shared, which is a similarity of 0.74: nothing links, and no pair is compared after the stars."""
+    r = random.Random(9)
+    template, compared = [f"t{i}" for i in range(170)], []
+    rows = [(i, " ".join([*[f"u{i}x{k}" for k in range(30)], *template])) for i in range(5000)]
+    rows += [(6000 + i, " ".join([*[f"v{i // 2}x{k}" for k in range(30)], *template[: 169 + i % 2]])) for i in range(200)]
+    r.shuffle(rows)
+    whole = nd._verified
+    monkeypatch.setattr(nd, "_verified", lambda docs, dealt, shared: compared.append(dealt.count()) or whole(docs, dealt, shared))
+    got = {x.doc_id: x for x in nd.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i].class_id == i and got[i].n_links == 0 for i in range(5000))
+    assert all(got[6000 + i].class_id == 6000 + i // 2 * 2 and got[6000 + i].n_links == 1 for i in range(200))
+    assert len(compared) == 3 and compared[1] < 1000 and compared[2] == 0
+
+
+def test_recall_against_all_pairs(spark):
+    """All similar pairs of real documents, by the same weights: within one class."""
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {x.doc_id: x.class_id for x in nd.classes(frame).collect()}
+    hashes, counts = nd._frequent(frame, len(rows))
+    weights, bags = nd.Weights(hashes, counts, len(rows)), {}
+    for d, t in rows:
+        _, h, times = nd.shingles(TextSlice(pa.array([t])))
+        bags[d] = (h, weights.of(h, times))
+    pairs = [(a, b) for a in bags for b in bags if a < b and nd.similarity(bags[a], bags[b]) >= nd.SIMILAR]
+    assert len(pairs) > 10
+    assert sum(roots[a] == roots[b] for a, b in pairs) == len(pairs)
