@@ -41,8 +41,11 @@ i4 AS (SELECT item_id, q, array_to_string(w[q:q + 3], ' ') AS k FROM (SELECT ite
 aligned AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM d4 JOIN i4 USING (k)),
 pairs AS (SELECT a.doc_id, a.item_id, a.shift, i.n, i.q, CAST(d.x = i.x AS INTEGER) AS same FROM aligned a JOIN i USING (item_id) JOIN d ON d.doc_id = a.doc_id AND d.p = i.q + a.shift),
 sums AS (SELECT doc_id, item_id, n, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS c FROM pairs),
+sw AS (SELECT item_id, w FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND 7),
+short AS (SELECT doc_id, list(DISTINCT item_id ORDER BY item_id) AS short_ids FROM dw JOIN sw ON contains(' ' || array_to_string(dw.w, ' ') || ' ', ' ' || array_to_string(sw.w, ' ') || ' ') GROUP BY doc_id),
 links AS (SELECT doc_id, item_id, max(s) AS matched FROM sums WHERE c = least(13, n) AND s >= CASE WHEN n >= 13 THEN 11 ELSE n END GROUP BY doc_id, item_id),
 found AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids, CAST(max(matched) AS BIGINT) AS matched FROM links GROUP BY doc_id)
-SELECT documents.doc_id, matched IS NOT NULL AS contaminated, CAST(coalesce(len(item_ids), 0) AS BIGINT) AS n_items, coalesce(item_ids, []) AS item_ids, matched
-FROM documents LEFT JOIN found USING (doc_id)
+SELECT documents.doc_id, matched IS NOT NULL AS contaminated, CAST(coalesce(len(item_ids), 0) AS BIGINT) AS n_items, coalesce(item_ids, []) AS item_ids, matched,
+  coalesce(short_ids, []) AS short_item_ids
+FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN short USING (doc_id)
 """

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -25,7 +26,7 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
+@pytest.mark.parametrize("bound", [64, 0])
 def test_equals_all_alignments(spark, bound):
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)]
@@ -39,10 +40,13 @@ def test_equals_all_alignments(spark, bound):
         at = r.randrange(len(text) + 1)
         docs.append((d // 2 if d % 10 == 0 else d, r.choice([", ", " ", "\n"]).join(text[:at] + b + text[at:])))
     docs += [(None, items[8][1]), (None, "clean")]
-    got = decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=bound).collect()
+    got = decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_mb=bound).collect()
     want = brute(docs, items)
     assert len(got) == len(docs) and sum(x.contaminated for x in got) > 20
+    short = {i: words(t) for i, t in items if 0 < len(words(t)) < 8}
     for x in got:
+        texts = [words(t) for d, t in docs if d == x.doc_id]
+        assert x.short_item_ids == [i for i, b in short.items() if any(w[k : k + len(b)] == b for w in texts for k in range(len(w)))]
         assert set(x.item_ids) == want[x.doc_id] and x.contaminated == bool(want[x.doc_id]) and x.n_items == len(want[x.doc_id])
 
 
@@ -56,3 +60,18 @@ def test_edge_rows(spark, rows):
     assert decontamination.clean(docs, items).count() == len([r for r in got if not r.contaminated])
     assert decontamination.clean(docs, items).columns == docs.columns
     assert decontamination.find(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_repeated_tokens_take_linear_time(spark):
+    docs = spark.createDataFrame([(1, "a " * 100_000), (2, "a b " * 50_000), (3, "a " * 39 + "b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a " * 40), (2, "c " * 40)], "item_id long, text string")
+    begun = time.monotonic()
+    got = {r.doc_id: (r.item_ids, r.matched) for r in decontamination.find(docs, items).collect()}
+    assert got == {1: ([1], 13), 2: ([], None), 3: ([1], 13)} and time.monotonic() - begun < 60
+
+
+def test_no_text_is_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "doc_id long, text string")
+    links = decontamination._links(docs, docs.withColumnRenamed("doc_id", "item_id"), "doc_id", "text", 64)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert not any("text" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line) and "Python" not in plan
