@@ -6,7 +6,8 @@ column means that the item lacks the attribute.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -129,6 +130,34 @@ def scan(df: DataFrame, keys: list[str], request: Request | None = None) -> Data
     return project(filtered(alive(rows, r), r), r)
 
 
+def key_conditions(conditions: dict[str, tuple[str, list[Any]]]) -> tuple[str, dict[str, str], dict[str, Any]]:
+    """The legacy form {name: (operator, values)} as a key condition with its
+    names and values."""
+    signs = {"EQ": "=", "LT": "<", "LE": "<=", "GT": ">", "GE": ">="}
+    parts, names, values = [], {}, {}
+    for i, (name, (op, given)) in enumerate(conditions.items()):
+        names[f"#k{i}"] = name
+        marks = [f":k{i}{j}" for j in range(len(given))]
+        values |= dict(zip(marks, given, strict=True))
+        if len(given) != (2 if op == "BETWEEN" else 1) or op not in (*signs, "BETWEEN", "BEGINS_WITH"):
+            raise ValidationError(f"no key condition {op}")
+        parts.append(f"#k{i} BETWEEN {marks[0]} AND {marks[1]}" if op == "BETWEEN" else f"begins_with(#k{i}, {marks[0]})" if op == "BEGINS_WITH" else f"#k{i} {signs[op]} {marks[0]}")
+    return " AND ".join(parts), names, values
+
+
+def selected(df: DataFrame, select: str, request: Request, index: list[str] | None = None) -> DataFrame:
+    """What Select asks for: ALL_ATTRIBUTES, ALL_PROJECTED_ATTRIBUTES (of an
+    index, whose columns are given), SPECIFIC_ATTRIBUTES or COUNT."""
+    if select == "COUNT":
+        if request.projection:
+            raise ValidationError("COUNT takes no projection")
+        return count(df, request)
+    if select == "SPECIFIC_ATTRIBUTES" and not request.projection:
+        raise ValidationError("SPECIFIC_ATTRIBUTES takes a projection")
+    rows = scan(df, list(df.columns[:1]), request)
+    return rows.select(*index) if select == "ALL_PROJECTED_ATTRIBUTES" and index else rows
+
+
 def count(df: DataFrame, request: Request) -> DataFrame:
     """Count and ScannedCount in one pass."""
     pred = Compiler(source_of(df, request.sets), request.values).where(parse_condition(request.filter, request.names)) if request.filter else F.lit(True)
@@ -171,9 +200,30 @@ def top_of_partitions(df: DataFrame, keys: list[str], n: int, forward: bool = Tr
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(keys[0]).orderBy(*order))).where(F.col("rn") <= n)
 
 
+#: More keys than this are no request but a table, and are joined as one.
+BROADCAST_KEYS = 10_000
+
+
 def batch_get(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The items of a table of keys; missing ones give no row."""
-    return df.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    """The items of a table of keys; missing ones give no row.  The keys of a
+    request, counted up to a bound, go to the scan of the table."""
+    wanted = wanted.select(*keys).distinct()
+    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(wanted) if few else wanted, keys, "left_semi")
+
+
+def pages(df: DataFrame, keys: list[str], request: Request | None = None, most: int = PAGE_BYTES) -> Iterator[tuple[DataFrame, dict[str, Any] | None]]:
+    """Pages and their LastEvaluatedKey, each page from the key of the one
+    before it, until one comes out empty.  Only that key reaches the driver."""
+    r = request or Request()
+    while True:
+        rows = page(df, keys, r, most)
+        last = ordered(rows.select(*keys), keys, not r.forward).limit(1).collect()
+        if not last:
+            return
+        key = last[0].asDict()
+        yield rows, key
+        r = replace(r, start=key)
 
 
 def positional_get(df: DataFrame, wanted: DataFrame, keys: list[str], place: str) -> DataFrame:

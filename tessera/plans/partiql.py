@@ -182,3 +182,38 @@ def select(df: DataFrame, statement: Statement) -> DataFrame:
     """Key conditions are ordinary ones: Spark pushes them into the scan."""
     rows = df.where(condition(df, statement.where))
     return rows.select(*[F.col(f"`{c}`") for c in statement.columns if c in df.columns]) if statement.columns else rows
+
+
+def _key(statement: Statement, keys: list[str]) -> None:
+    equal = {n for n, op, _ in statement.where if op == "="}
+    if not all(k in equal for k in keys):
+        raise ValidationError("WHERE must name the whole key")
+
+
+def written(df: DataFrame, statement: Statement, keys: list[str]) -> DataFrame:
+    """The table after INSERT, UPDATE or DELETE of one item.  INSERT takes the
+    place of an item that is there; UPDATE makes one if WHERE is but the key;
+    terms beside the key are conditions that an item must meet."""
+    if statement.kind == "INSERT":
+        if any(statement.item.get(k) is None for k in keys):
+            raise ValidationError("an item has its key")
+        same = reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.lit(statement.item[k]) for k in keys])
+        kinds = {f.name: f.dataType for f in df.schema}
+        one = df.sparkSession.range(1).select(*[F.lit(v).cast(kinds[n]).alias(n) if n in kinds else F.lit(v).alias(n) for n, v in statement.item.items()])
+        return df.where(~same).unionByName(one, allowMissingColumns=True)
+    _key(statement, keys)
+    met = F.coalesce(condition(df, statement.where), F.lit(False))
+    if statement.kind == "DELETE":
+        return df.where(~met)
+    if any(k in statement.assign for k in keys):
+        raise ValidationError("key attributes can't be updated")
+    kinds = {f.name: f.dataType for f in df.schema}
+    new = {n: F.lit(v).cast(kinds[n]) if n in kinds else F.lit(v) for n, v in statement.assign.items()}
+    rows = df
+    if {n for n, _, _ in statement.where} == set(keys):
+        made = {n: v for n, _, v in statement.where}
+        same = reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.lit(made[k]) for k in keys])
+        absent = df.where(same).limit(1).agg(F.count("*").alias("n")).where("n = 0")
+        rows = df.unionByName(absent.select(*[F.lit(made[k]).cast(kinds[k]).alias(k) for k in keys]), allowMissingColumns=True)
+        met = same
+    return rows.select(*[F.when(met, new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in df.columns], *[F.when(met, v).alias(n) for n, v in new.items() if n not in kinds])
