@@ -3,6 +3,7 @@ that gives the same rows.  Each runs over its whole table."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,10 +13,13 @@ from .functions import columns as C
 from .functions.throttle import replay
 from .operators import log, write
 from .operators.indexes import index_order, index_view
-from .operators.read import Request, batch_get, count, get_item, page, positional_get, query, scan, segment, top_of_partitions
+from .operators.read import Request, batch_get, count, get_item, key_conditions, page, pages, positional_get, query, scan, segment, selected, top_of_partitions
 from .operators.update import returned, update
 from .plans import partiql
+from .service import Service, ServiceError
+from .sources.files import shared_folder
 from .sources.tagged_json import checked, read_items, update_items, write_items
+from .values import ValidationError
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,7 +378,13 @@ def _(spark, d):
     return docs.select("doc_id", C.read_units(size).alias("strong"), C.read_units(size, consistent=False).alias("eventual"), C.read_units(size, transactional=True).alias("transactional"), C.write_units(size).alias("written"))
 
 
-@add("throttle_replay")
+_TAKEN = """WITH RECURSIVE r AS (SELECT event_type AS table_name, epoch_us(ts) / 1e6 AS "at", row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events),
+b AS (SELECT table_name, "at", k, 0.001::DOUBLE * 300.0::DOUBLE AS level FROM r WHERE k = 1
+  UNION ALL SELECT r.table_name, r."at", r.k, least(0.001::DOUBLE * 300.0::DOUBLE, CASE WHEN b.level <= 0 THEN b.level ELSE b.level - 1 END + (r."at" - b."at") * 0.001::DOUBLE) FROM b JOIN r ON r.table_name = b.table_name AND r.k = b.k + 1)
+SELECT table_name, "at", CAST(1 AS DOUBLE) AS units, level > 0 AS admitted FROM b"""
+
+
+@add("throttle_replay", _TAKEN)
 def _(spark, d):
     events = table(spark, d, "events").select("event_type", _epoch("ts").alias("at"), F.lit(1.0).alias("units"))
     return replay(events, "event_type", "at", "units", rate=0.001)
@@ -440,6 +450,288 @@ def _(spark, d):
     return out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+# Writes that make items, fail on them, or come in groups.
+_FEW = "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders"
+
+
+def _few(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@add("conditional_put_empty", "SELECT o_orderkey, 'OK' AS status FROM orders")
+def _(spark, d):
+    orders = _few(spark, d)
+    return write.conditional(orders.limit(0), orders.select("o_orderkey"), ["o_orderkey"], "attribute_not_exists(o_orderkey) AND NOT o_totalprice > :p", {":p": 1})
+
+
+@add("update_upsert", """SELECT o_orderkey, CASE WHEN w IS NULL THEN o_totalprice ELSE coalesce(o_totalprice, 0) + 5 END AS o_totalprice, CASE WHEN w IS NULL THEN o_orderstatus ELSE coalesce(o_orderstatus, 'NEW') END AS o_orderstatus, CASE WHEN w IS NOT NULL THEN 'yes' END AS seen
+FROM orders FULL JOIN (SELECT DISTINCT l_orderkey * 3 AS o_orderkey, 1 AS w FROM lineitem) USING (o_orderkey)""")
+def _(spark, d):
+    wanted = table(spark, d, "lineitem").select((F.col("l_orderkey") * 3).alias("o_orderkey"))
+    return write.upsert(_few(spark, d), wanted, ["o_orderkey"], "SET o_orderstatus = if_not_exists(o_orderstatus, :n), seen = :y ADD o_totalprice :v REMOVE nothing, nothing.at.all", {":n": "NEW", ":y": "yes", ":v": 5})
+
+
+@add("update_nested_set", "SELECT event_id, [CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id END, CASE WHEN event_id % 2 = 0 THEN 7 ELSE user_id END] || CASE WHEN event_id % 2 = 0 THEN [8] ELSE [] END AS list, CASE WHEN event_id % 2 = 0 THEN 9 ELSE event_id END AS k, CASE WHEN event_id % 2 = 1 THEN 'ValidationException' END AS error FROM events")
+def _(spark, d):
+    events = table(spark, d, "events").select("event_id", F.array("event_id", "user_id").alias("list"), F.struct(F.struct(F.col("event_id").alias("k")).alias("in")).alias("info"))
+    even, odd = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    good = update(even, "SET #l[2] = :c, #l[0] = :a, #l[1] = :b, info.#i.k = :k", {":a": 0, ":b": 7, ":c": 8, ":k": 9}, {"#l": "list", "#i": "in"}, keys=("event_id",), error="error")
+    bad = update(odd, "SET info.#i.k = :k, #l[9] = :a", {":a": 0, ":k": 9}, {"#l": "list", "#i": "in"}, keys=("event_id",), error="error")
+    return good.union(bad).select("event_id", "list", F.col("info.in.k").alias("k"), "error")
+
+
+@add("update_add_replaces", "SELECT o_orderkey, CAST(3 AS BIGINT) AS o_orderstatus FROM orders")
+def _(spark, d):
+    out = update(_few(spark, d).select("o_orderkey", "o_orderstatus"), "ADD o_orderstatus :n", {":n": 3}, keys=("o_orderkey",))
+    return out.select("o_orderkey", F.col("o_orderstatus").cast("long").alias("o_orderstatus"))
+
+
+@add("returning_old", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS o_orderstatus FROM orders")
+def _(spark, d):
+    return returned(_few(spark, d).select("o_orderkey", "o_orderstatus"), "SET o_orderstatus = :s", "UPDATED_OLD", ["o_orderkey"], {":s": "F"})
+
+
+_ACTIONS = "SELECT l_orderkey AS tx, l_orderkey + l_linenumber % 3 AS o_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 'Delete' WHEN 1 THEN 'Put' WHEN 2 THEN 'Update' ELSE 'ConditionCheck' END AS kind, CAST(l_partkey AS DOUBLE) AS p, l_returnflag AS s FROM lineitem WHERE l_orderkey % 10 = 0"
+_TRANSACTED = f"""WITH a AS ({_ACTIONS}), c AS (SELECT a.*, coalesce(o_totalprice > 20000, true) AS met FROM a LEFT JOIN orders USING (o_orderkey)),
+good AS (SELECT tx FROM c GROUP BY tx HAVING bool_and(met) AND count(*) = count(DISTINCT o_orderkey)),
+w AS (SELECT a.* FROM a SEMI JOIN good USING (tx) WHERE kind <> 'ConditionCheck')
+SELECT o_orderkey, CASE kind WHEN 'Put' THEN w.p WHEN 'Update' THEN coalesce(w.p, o.o_totalprice) ELSE o.o_totalprice END AS o_totalprice, CASE kind WHEN 'Put' THEN w.s WHEN 'Update' THEN coalesce(w.s, o.o_orderstatus) ELSE o.o_orderstatus END AS o_orderstatus
+FROM orders o FULL JOIN w USING (o_orderkey) WHERE kind IS DISTINCT FROM 'Delete'"""
+
+
+@add("transact_write_items", _TRANSACTED)
+def _(spark, d):
+    """Orders 10 apart, so that two transactions don't meet on a key; actions on one key within one cancel it."""
+    n = F.col("l_linenumber") % 4
+    kind = F.when(n == 0, "Delete").when(n == 1, "Put").when(n == 2, "Update").otherwise("ConditionCheck")
+    actions = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("tx"), (F.col("l_orderkey") + F.col("l_linenumber") % 3).alias("o_orderkey"), kind.alias("kind"), F.col("l_partkey").cast("double").alias("o_totalprice"), F.col("l_returnflag").alias("o_orderstatus"))
+    return write.transact_write(_few(spark, d), actions, "tx", ["o_orderkey"], "o_totalprice > :p OR attribute_not_exists(o_orderkey)", {":p": 20_000})
+
+
+@add("batch_write_items", f"""WITH r AS (SELECT l_partkey % 100 AS batch, l_orderkey AS o_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_quantity FROM lineitem),
+good AS (SELECT batch FROM r GROUP BY batch HAVING bool_and(l_partkey % 700 > 1)),
+w AS (SELECT * FROM r SEMI JOIN good USING (batch) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC) = 1)
+SELECT o_orderkey, coalesce(w.l_extendedprice, o.o_totalprice) AS o_totalprice, coalesce(w.l_returnflag, o.o_orderstatus) AS o_orderstatus FROM ({_FEW}) o FULL JOIN w USING (o_orderkey) WHERE w.l_linenumber IS NULL OR w.l_linenumber <> 2""")
+def _(spark, d):
+    lines = table(spark, d, "lineitem")
+    requests = lines.select((F.col("l_partkey") % 100).alias("batch"), F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"), F.col("l_returnflag").alias("o_orderstatus"), F.when(F.col("l_linenumber") == 2, "D").otherwise("P").alias("op"), "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber")
+    return write.batch_write(_few(spark, d), requests, "batch", ["o_orderkey"], ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"], F.col("l_partkey") % 700 > 1)
+
+
+# PartiQL writes and their failures.
+@add("partiql_insert", f"{_FEW} WHERE o_orderkey <> 7 UNION ALL SELECT 7, 1.5, 'N' UNION ALL SELECT -1, NULL, 'M'")
+def _(spark, d):
+    rows = _few(spark, d)
+    for text in ("INSERT INTO orders VALUE {'o_orderkey': 7, 'o_totalprice': 1.5, 'o_orderstatus': 'N'}", "INSERT INTO orders VALUE {'o_orderkey': ?, 'o_orderstatus': 'M'}"):
+        rows = partiql.written(rows, partiql.parse(text, [-1]), ["o_orderkey"])
+    return rows
+
+
+@add("partiql_update", "SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 2.5 ELSE o_totalprice END AS o_totalprice, o_orderstatus, CASE WHEN o_orderkey = 7 THEN 'x' END AS note FROM orders UNION ALL SELECT -5, 2.5, NULL, 'x'")
+def _(spark, d):
+    rows = _few(spark, d)
+    for where in ("o_orderkey = 7", "o_orderkey = -5", "o_orderkey = 32 AND o_orderstatus = 'nothing'"):
+        rows = partiql.written(rows, partiql.parse(f"UPDATE orders SET o_totalprice = 2.5, note = 'x' WHERE {where}"), ["o_orderkey"])
+    return rows
+
+
+@add("partiql_delete", f"{_FEW} WHERE o_orderkey <> 7")
+def _(spark, d):
+    rows = _few(spark, d)
+    for where in ("o_orderkey = 7", "o_orderkey = 5 AND o_totalprice < 0", "o_orderkey = -1"):
+        rows = partiql.written(rows, partiql.parse(f"DELETE FROM orders WHERE {where}"), ["o_orderkey"])
+    return rows
+
+
+# Conditions in full: sets, missing paths, and texts that aren't conditions.
+@add("scan_contains_set", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey <> 10")
+def _(spark, d):
+    r = Request(filter="contains(tags, :o) AND NOT contains(nums, :n) AND attribute_type(tags, :t)", values={":o": "O", ":n": 10, ":t": "SS"}, sets=frozenset({"tags", "nums"}), projection="o_orderkey")
+    rows = _tagged_orders(spark, d).join(table(spark, d, "orders").select("o_orderkey", F.array("o_custkey").alias("nums")), "o_orderkey")
+    return scan(rows, ["o_orderkey"], r)
+
+
+def _outcome(spark: SparkSession, d: str, text: str) -> str:
+    try:
+        n = scan(table(spark, d, "region"), ["r_regionkey"], Request(filter=text, values={":v": 1})).count()
+    except ValidationError:
+        return "ValidationException"
+    return str(n)
+
+
+_CONDITIONS = {"r_name": "0", "NOT r_regionkey": "5", "r_regionkey = :none": "0", "r_regionkey = ": "ValidationException", "(r_regionkey = :v": "ValidationException", "no.path[3].at = :v": "0", "attribute_not_exists(no.path[3])": "5"}
+
+
+@add("condition_outcomes", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in _CONDITIONS.items()) + ") t(condition, outcome)")
+def _(spark, d):
+    return spark.createDataFrame([(c, _outcome(spark, d, c)) for c in _CONDITIONS], "condition string, outcome string")
+
+
+@add("query_key_conditions", "SELECT * FROM events WHERE user_id = 8 AND event_id BETWEEN 100 AND 5000")
+def _(spark, d):
+    text, names, values = key_conditions({"user_id": ("EQ", [8]), "event_id": ("BETWEEN", [100, 5000])})
+    return query(table(spark, d, "events"), ["user_id", "event_id"], text, Request(names=names, values=values))
+
+
+@add("select_kinds", 'SELECT (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS "Count", 3 AS n_projected, 1 AS n_specific, 6 AS n_all')
+def _(spark, d):
+    orders, r = table(spark, d, "orders"), Request(filter="o_totalprice > :p", values={":p": 100_000})
+    only = Request(projection="o_orderstatus")
+    counts = [len(selected(orders, k, x, ["o_orderstatus", "o_orderdate", "o_custkey"]).columns) for k, x in (("ALL_PROJECTED_ATTRIBUTES", r), ("SPECIFIC_ATTRIBUTES", only), ("ALL_ATTRIBUTES", r))]
+    return selected(orders, "COUNT", r).select("Count", *[F.lit(n).alias(name) for n, name in zip(counts, ("n_projected", "n_specific", "n_all"), strict=True)])
+
+
+@add("page_chain", "SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 60 AS INTEGER) AS page FROM customer WHERE c_custkey <= 300")
+def _(spark, d):
+    """LastEvaluatedKey leads from page to page until none is left."""
+    rows, out = table(spark, d, "customer").where("c_custkey <= 300"), None
+    for n, (part, _key) in enumerate(pages(rows, ["c_custkey"], Request(limit=60))):
+        part = part.select("c_custkey", F.lit(n).alias("page"))
+        out = part if out is None else out.union(part)
+    return out if out is not None else rows.select("c_custkey", F.lit(0).alias("page"))
+
+
+# The feed of a table: events are writes of their user, one in seven a delete.
+_EVENT_FEED = "(SELECT event_id AS seq, user_id, CASE WHEN event_id % 7 = 0 THEN 'REMOVE' WHEN old IS NULL THEN 'INSERT' ELSE 'MODIFY' END AS event_name FROM (SELECT *, lag(CASE WHEN event_id % 7 <> 0 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events) WHERE event_id % 7 <> 0 OR old IS NOT NULL)"
+
+
+@add("stream_iterators", f"SELECT 'TRIM_HORIZON' AS kind, * FROM (SELECT * FROM {_EVENT_FEED} ORDER BY seq LIMIT 50) UNION ALL SELECT 'AFTER_SEQUENCE_NUMBER', * FROM (SELECT * FROM {_EVENT_FEED} WHERE seq > 500 ORDER BY seq LIMIT 1000) UNION ALL SELECT 'AT_SEQUENCE_NUMBER', * FROM (SELECT * FROM {_EVENT_FEED} WHERE seq >= 500 ORDER BY seq LIMIT 1000)")
+def _(spark, d):
+    events, out = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), "value"), None
+    feed = log.changes(events, ["user_id"], ["seq"], F.col("seq") % 7 == 0).select("seq", "user_id", "event_name")
+    for kind, limit in (("TRIM_HORIZON", 50), ("LATEST", 1000), ("AFTER_SEQUENCE_NUMBER", 1000), ("AT_SEQUENCE_NUMBER", 1000)):
+        part = log.records(feed, kind, 500, limit).select(F.lit(kind).alias("kind"), "*")
+        out = part if out is None else out.union(part)
+    return out
+
+
+# Values and files.
+_NUMBERS = {"1.0": "1", "+5": "5", "-0": "0", "1.50": "1.5", "007": "7", "1e2": "100", "1.5e-3": "0.0015", "x": "error", "12345678901234567890123456789012345678": "12345678901234567890123456789012345678"}
+
+
+@add("canonical_numbers", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NUMBERS.items()) + ") t(given, number)")
+def _(spark, d):
+    lines = spark.createDataFrame([(x, f'{{"k":{{"S":"a"}},"n":{{"N":"{x}"}}}}') for x in _NUMBERS], "given string, value string")
+    out = None
+    for x in _NUMBERS:
+        part = checked(lines.where(F.col("given") == x).select("value"), {"k": "S"}).select(F.lit(x).alias("given"), F.when(F.col("error").isNull(), F.get_json_object("value", "$.n.N")).otherwise("error").alias("number"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@add("binary_base64", """SELECT doc_id, '{"b":{"B":"' || to_base64(encode(coalesce(lang, ''))) || '"},"doc_id":{"N":"' || doc_id || '"}}' AS value FROM documents""")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).cast("binary").alias("b"))
+    return write_items(docs).select(F.get_json_object("value", "$.doc_id.N").cast("long").alias("doc_id"), "value")
+
+
+@add("codec_round_trip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, [o_orderstatus, 'F'] AS tags, o_orderdate FROM orders")
+def _(spark, d):
+    """Through the table's own files: typed, compressed, with the range of each column."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.array("o_orderstatus", F.lit("F")).alias("tags"), "o_orderdate")
+    return _written(orders, "codec")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@add("backup_restore", f"SELECT {_LINE_COLUMNS} FROM ({_LINES}) WHERE k = 1 AND l_returnflag <> 'R'")
+def _(spark, d):
+    """A snapshot of the current view, written; the log may go on, or go."""
+    view = log.current(table(spark, d, "lineitem").select(*_LINE_COLUMNS.split(", ")), LINE_KEYS, LINE_ORDER, F.col("l_returnflag") == "R")
+    return _written(view, "backup")
+
+
+# Requests that manage tables, streams, expiry, backups and replicas; the answers as rows.
+def _told(name: str, script: Callable[[Service], list[str]], expected: list[str]) -> None:
+    @add(name, "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(expected)) + ") t(step, answer)")
+    def _(spark, d):
+        store = Service(spark, f"{shared_folder(spark)}/tessera/store-{uuid.uuid4().hex}")
+        return spark.createDataFrame(list(enumerate(script(store))), "step int, answer string")
+
+
+def _made(store: Service, name: str, **more) -> None:
+    store.call("CreateTable", {"TableName": name, "KeySchema": [{"AttributeName": "pk", "KeyType": "HASH"}], "AttributeDefinitions": [{"AttributeName": "pk", "AttributeType": "S"}]} | more)
+
+
+def _try(call: Callable[[], object]) -> str:
+    try:
+        return str(call())
+    except ServiceError as e:
+        return e.kind
+
+
+def _tables(store: Service) -> list[str]:
+    _made(store, "B")
+    _made(store, "A")
+    store.call("PutItem", {"TableName": "A", "Item": {"pk": {"S": "x"}}})
+    out = [",".join(store.call("ListTables", {})["TableNames"]), _try(lambda: _made(store, "A"))]
+    out.append(str(store.call("DescribeTable", {"TableName": "A"})["Table"]["ItemCount"]))
+    store.call("UpdateTable", {"TableName": "A", "ProvisionedThroughput": {"ReadCapacityUnits": 7, "WriteCapacityUnits": 8}})
+    out.append(str(store.call("DescribeTable", {"TableName": "A"})["Table"]["TableStatus"]))
+    store.call("DeleteTable", {"TableName": "B"})
+    return [*out, ",".join(store.call("ListTables", {})["TableNames"]), _try(lambda: store.call("DescribeTable", {"TableName": "B"}))]
+
+
+_told("manage_tables", _tables, ["A,B", "ResourceInUseException", "1", "ACTIVE", "A", "ResourceNotFoundException"])
+
+
+def _streams(store: Service) -> list[str]:
+    _made(store, "T", StreamSpecification={"StreamEnabled": True, "StreamViewType": "NEW_AND_OLD_IMAGES"})
+    for call, more in (("PutItem", {"Item": {"pk": {"S": "x"}, "v": {"N": "1"}}}), ("PutItem", {"Item": {"pk": {"S": "x"}, "v": {"N": "2"}}}), ("DeleteItem", {"Key": {"pk": {"S": "x"}}})):
+        store.call(call, {"TableName": "T"} | more)
+    arn = store.call("ListStreams", {})["Streams"][0]["StreamArn"]
+    at = store.call("GetShardIterator", {"StreamArn": arn, "ShardIteratorType": "TRIM_HORIZON"})["ShardIterator"]
+    latest = store.call("GetShardIterator", {"StreamArn": arn, "ShardIteratorType": "LATEST"})["ShardIterator"]
+    got = store.call("GetRecords", {"ShardIterator": at, "Limit": 2})
+    rest = store.call("GetRecords", {"ShardIterator": got["NextShardIterator"]})["Records"]
+    status = store.call("DescribeStream", {"StreamArn": arn})["StreamDescription"]["StreamViewType"]
+    return [status, ",".join(x["eventName"] for x in got["Records"]), ",".join(x["eventName"] for x in rest), str(len(store.call("GetRecords", {"ShardIterator": latest})["Records"]))]
+
+
+_told("manage_streams", _streams, ["NEW_AND_OLD_IMAGES", "INSERT,MODIFY", "REMOVE", "0"])
+
+
+def _expiry(store: Service) -> list[str]:
+    _made(store, "T")
+    out = [store.call("DescribeTimeToLive", {"TableName": "T"})["TimeToLiveDescription"]["TimeToLiveStatus"]]
+    store.call("UpdateTimeToLive", {"TableName": "T", "TimeToLiveSpecification": {"Enabled": True, "AttributeName": "e"}})
+    store.call("PutItem", {"TableName": "T", "Item": {"pk": {"S": "x"}, "e": {"N": "5"}}})
+    return [*out, store.call("DescribeTimeToLive", {"TableName": "T"})["TimeToLiveDescription"]["TimeToLiveStatus"], str(store.call("GetItem", {"TableName": "T", "Key": {"pk": {"S": "x"}}}))]
+
+
+_told("manage_expiry", _expiry, ["DISABLED", "ENABLED", "{}"])
+
+
+def _backups(store: Service) -> list[str]:
+    _made(store, "T")
+    for x in "ab":
+        store.call("PutItem", {"TableName": "T", "Item": {"pk": {"S": x}, "v": {"N": "1"}}})
+    arn = store.call("CreateBackup", {"TableName": "T", "BackupName": "n"})["BackupDetails"]["BackupArn"]
+    out = [str(store.call("DescribeBackup", {"BackupArn": arn})["BackupDescription"]["BackupDetails"]["BackupSizeBytes"])]
+    store.call("DeleteTable", {"TableName": "T"})
+    store.call("RestoreTableFromBackup", {"BackupArn": arn, "TargetTableName": "R"})
+    out += [",".join(sorted(x["pk"]["S"] for x in store.call("Scan", {"TableName": "R"})["Items"])), str(len(store.call("ListBackups", {})["BackupSummaries"]))]
+    store.call("DeleteBackup", {"BackupArn": arn})
+    return [*out, str(len(store.call("ListBackups", {})["BackupSummaries"])), _try(lambda: store.call("DescribeBackup", {"BackupArn": arn}))]
+
+
+_told("manage_backups", _backups, ["2048", "a,b", "1", "0", "BackupNotFoundException"])
+
+
+def _statements(store: Service) -> list[str]:
+    _made(store, "T")
+    texts = ["INSERT INTO T VALUE {'pk': 'a', 'v': 1}", "UPDATE T SET v = 2 WHERE pk = 'a' AND v = 1", "UPDATE T SET v = 3 WHERE pk = 'a' AND v = 1", "SELECT v FROM T WHERE pk = 'a'", "DELETE FROM T WHERE pk = 'a'", "SELECT v FROM T", "SELECT"]
+    answers = store.call("BatchExecuteStatement", {"Statements": [{"Statement": t} for t in texts]})["Responses"]
+    return [x.get("Item", {}).get("v", {}).get("N", "") or x.get("Error", {}).get("Code", "") for x in answers]
+
+
+_told("execute_statements", _statements, ["", "", "ConditionalCheckFailedException", "2", "", "", "ValidationException"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partition in a span of its sort key, filtered and projected."""
     return query_sk_between(spark, sf_dir)

@@ -196,3 +196,17 @@ def test_stream_equals_batch(spark, tmp_path):
     streaming.run_to(guarded, str(tmp_path / "out2"), str(tmp_path / "check2"))
     status = {r.seq: r.status for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
     assert status[2] == "ConditionalCheckFailed" and status[1] == "OK"
+
+
+def test_of_many_writers_one_publishes(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tessera.sources.files import Files
+
+    files = Files(spark, str(tmp_path))
+    files.publish("state/0.json", "{}")
+    for n in range(1, 11):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda k: (files.publish(f"state/{n}.json", f"{k} {n}"), k), range(8)))
+        assert [f"{k} {n}" for ok, k in won if ok] == [files.read(f"state/{n}.json")]
+    assert all(x.endswith(".json") for x in files.names("state") if not x.startswith("."))
