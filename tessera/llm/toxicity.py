@@ -1,17 +1,21 @@
 """Toxicity by a linear classifier on character n-grams.
 
-Features are the byte n-grams (4, 5, 6 and 8) of the lower-cased text, hashed; a text
-has a feature or not.  Each is scaled by its naive Bayes log-count ratio between
-toxic and clean documents, and a logistic regression weighs the scaled ones.
+Features are the n-grams of 4, 5, 6 and 8 characters of the lower-cased text,
+hashed; a text has a feature or not.  Each is scaled by its naive Bayes log-count
+ratio between toxic and clean documents, and a logistic regression weighs the
+scaled ones.
 
 Learnt from a bounded sample: about ``sample_rows`` labelled rows, dealt by a
 hash of the doc_id.  Of the hashed features the ``most_features`` that tell
-the classes apart best (by the G-test) stay; a text is scored whole.
-
-Edge cases: null counts as an empty text, which has the score of the bias;
-repeated rows give a row each; a doc_id with several labels is toxic if one
-says so; without labels, or with one class only, the score follows the share
-of toxic rows; an empty table gives no rows; other columns are ignored.
+the classes apart best (by the G-test, then by number) stay; a text is scored
+whole.  For the fit the driver holds the chosen features of the sample, of which a
+row can have no more than ``most_features``: 4 bytes each.
+
+Edge cases: null counts as an empty text, which has the score of the bias; a very
+long text is scored whole, in a slice of its own; repeated rows give a row each; a
+doc_id with several labels is toxic if one says so; without labels, or with one
+class only, the score follows the share of toxic rows; a score of exactly 0.5 is
+predicted toxic; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,37 +25,50 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import persist
-from .textbatch import TextSlice, grams, slices
+from .textbatch import TextSlice, slices
 
 SIZES = (4, 5, 6, 8)
 BITS = 20
 _U = np.uint64
+#: A multiplier for each place of an n-gram and a salt for each size.
+_PLACE = [_U(k * 0x9E3779B97F4A7C15 % (1 << 64) | 1) for k in range(1, max(SIZES) + 1)]
 _SALT = {n: _U(n * 0xD6E8FEB86659FD93 % (1 << 64)) for n in SIZES}
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
-def feature_places(s: TextSlice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def characters(s: TextSlice) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the lower-cased texts, and where each text starts."""
+    low = TextSlice(pc.utf8_lower(s.texts))
+    points = np.frombuffer(low.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    lengths = pc.utf8_length(low.texts).to_numpy(zero_copy_only=False)
+    return points, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def feature_places(points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places within the slice and the hashed features there."""
-    data = _LOWER[s.data]
-    for n in SIZES:
-        packed, whole = grams(s, data, n)
-        index = (packed.astype(_U) * _U(0x9E3779B97F4A7C15) + _SALT[n]) * _U(0xBF58476D1CE4E5B9) >> _U(64 - BITS)
-        yield np.flatnonzero(whole), index[whole].astype(np.int64)
+    wide, total = points.astype(_U), np.zeros(len(points), _U)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(points))  # characters from here to the end of the text
+    for n in range(1, max(SIZES) + 1):
+        count = max(0, len(points) - n + 1)
+        total = total[:count] + wide[n - 1 :] * _PLACE[n - 1]
+        if n in SIZES:
+            at = np.flatnonzero(left[:count] >= n)
+            yield at, ((total[at] + _SALT[n]) * _U(0xBF58476D1CE4E5B9) >> _U(64 - BITS)).astype(np.int64)
 
 
 def features(s: TextSlice, chosen: np.ndarray | None = None) -> np.ndarray:
     """Distinct (text << BITS | feature) of the slice, in order; with
     ``chosen`` only of the features that it flags."""
     out = []
-    for at, index in feature_places(s):
+    points, offsets = characters(s)
+    for at, index in feature_places(points, offsets):
         if chosen is not None:
             good = np.flatnonzero(chosen[index])
             at, index = at[good], index[good]
-        owner = np.searchsorted(s.offsets, at, side="right") - 1
+        owner = np.searchsorted(offsets, at, side="right") - 1
         out.append(owner << BITS | index)
     return np.unique(np.concatenate(out))
 
@@ -96,6 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = known.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     # About sample_rows rows of two numbers: small by that parameter, whatever the table.
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), id_col).select("text", "y")
+    # Written, for two steps read it and all documents are looked through to find it.
+    rows = persist(rows, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << BITS
