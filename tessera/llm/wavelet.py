@@ -1,15 +1,17 @@
 """Token ids in wavelet matrices, one a shard.
 
 A shard file is one binary value: a header (magic, counts, sizes), the documents'
-ids and token offsets, then one bit-plane for each bit of the largest token id,
-from the highest; each plane is a zstd frame of packed bits.  ``rank`` tables are
-rebuilt on load, one count for every 512 bits.  ``Shard`` answers ``access``,
-``count`` and ``occurrences`` from it, and ``tokens`` restores the sequence.
+ids and token offsets, a rank directory (set bits before every 512 bits of each
+plane), then one bit-plane for each bit of the largest token id, from the highest.
+A plane is cut into blocks of 32 KB, each a zstd frame of packed bits.  ``access``,
+``count`` and ``occurrences`` find their way by the directory and unpack only the
+blocks that they touch; ``tokens`` restores the whole sequence.
 
 Spark's Parquet writer carries the values, one shard in a file: it is the one
 writer here that commits to any store and survives a lost executor.
 
-Edge cases: null counts as an empty text, which has the end id only; rows that
+Edge cases: null counts as an empty text, which has the end id only; a very long
+text is encoded whole and stays within one shard; rows that
 repeat a doc_id are put in order of their text; null doc_ids come first; an
 empty table gives no shards and no rows; other columns are ignored.
 """
@@ -33,9 +35,10 @@ from .memo import Memo
 from .storage import persist
 from .textbatch import slices
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 _HEAD = struct.Struct("<4sIQQ")
 _BLOCK = 512
+_FRAME = 32 << 10
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -47,66 +50,82 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) ->
     null = np.packbits(np.array([i is None for i in doc_ids], bool))
     parts = [ids.tobytes(), null.tobytes(), np.asarray(lengths, "<u4").tobytes()]
     row = tokens.astype(np.uint32 if bits > 16 else np.uint16)
+    planes, ranks = [], []
     for b in range(bits - 1, -1, -1):
         plane = (row & row.dtype.type(1 << b)).astype(bool)
-        parts.append(np.packbits(plane).tobytes())
+        packed = np.packbits(plane)
+        ranks.append(_ranks_of(packed))
+        planes += [packed[k : k + _FRAME].tobytes() for k in range(0, len(packed), _FRAME)]
         row = np.concatenate([np.compress(~plane, row), np.compress(plane, row)])
-    frames = [press.compress(p) for p in parts]
+    frames = [press.compress(p) for p in [*parts, np.concatenate(ranks).astype("<u8").tobytes(), *planes]]
     return _HEAD.pack(MAGIC, bits, len(ids), len(tokens)) + struct.pack(f"<{len(frames)}Q", *map(len, frames)) + b"".join(frames)
 
 
+def _ranks_of(packed: np.ndarray) -> np.ndarray:
+    """Set bits before every block of 512, and in all."""
+    ones = np.bitwise_count(np.pad(packed, (0, -len(packed) % (_BLOCK // 8))).view("<u8")).reshape(-1, _BLOCK // 64).sum(1, dtype=np.int64)
+    return np.concatenate([[0], np.cumsum(ones)])
+
+
 class Shard:
     def __init__(self, blob: bytes):
         magic, self.bits, self.n_docs, self.n = _HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        count = 3 + self.bits
+        each = -(-(-(-self.n // 8)) // _FRAME)
+        count = 4 + self.bits * each
         sizes = struct.unpack_from(f"<{count}Q", blob, _HEAD.size)
-        at = _HEAD.size + 8 * count
-        out, expand = [], zstandard.ZstdDecompressor()
-        for size in sizes:
-            out.append(expand.decompress(blob[at : at + size]))
-            at += size
-        null = np.unpackbits(np.frombuffer(out[1], np.uint8), count=self.n_docs)
-        self.doc_ids = [None if x else int(i) for i, x in zip(np.frombuffer(out[0], "<i8"), null, strict=True)]
-        self.lengths = np.frombuffer(out[2], "<u4").astype(np.int64)
+        begins = _HEAD.size + 8 * count + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self._blob, self._at, self._each, self._expand = blob, begins.tolist(), each, zstandard.ZstdDecompressor()
+        self._open: dict[tuple[int, int], np.ndarray] = {}
+        ids, nulls, lengths, ranks = (self._frame(k) for k in range(4))
+        null = np.unpackbits(np.frombuffer(nulls, np.uint8), count=self.n_docs)
+        self.doc_ids = [None if x else int(i) for i, x in zip(np.frombuffer(ids, "<i8"), null, strict=True)]
+        self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.planes = [np.frombuffer(p, np.uint8) for p in out[3:]]
+        self._ranks = np.frombuffer(ranks, "<u8").astype(np.int64).reshape(self.bits, -1)
 
-    @cached_property
-    def _ranks(self) -> list[np.ndarray]:
-        """Set bits before every block of 512, by plane."""
-        out = []
-        for p in self.planes:
-            ones = np.bitwise_count(np.pad(p, (0, -len(p) % (_BLOCK // 8)))).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64)
-            out.append(np.concatenate([[0], np.cumsum(ones)]))
-        return out
+    def _frame(self, k: int) -> bytes:
+        return self._expand.decompress(self._blob[self._at[k] : self._at[k + 1]])
+
+    def _part(self, k: int, j: int) -> np.ndarray:
+        """Bytes of block j of plane k, unpacked when first asked for."""
+        if (k, j) not in self._open:
+            self._open[k, j] = np.frombuffer(self._frame(4 + k * self._each + j), np.uint8)
+        return self._open[k, j]
+
+    def _byte(self, k: int, i: int) -> int:
+        return int(self._part(k, i // _FRAME)[i % _FRAME])
+
+    def plane(self, k: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(self._frame(4 + k * self._each + j), np.uint8) for j in range(self._each)]])
 
     @cached_property
     def _zeros(self) -> list[int]:
         return [self.n - int(r[-1]) for r in self._ranks]
 
     def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i >> 3]) >> (7 - (i & 7)) & 1
+        return self._byte(k, i >> 3) >> (7 - (i & 7)) & 1
 
     def rank1(self, k: int, i: int) -> int:
         """Set bits among the first i of plane k."""
         block = i // _BLOCK
-        rest = self.planes[k][block * _BLOCK // 8 : i >> 3]
-        out = int(self._ranks[k][block]) + int(np.bitwise_count(rest).sum())
-        return out + (int(self.planes[k][i >> 3]) >> (8 - (i & 7))).bit_count() if i & 7 else out
+        first, last = block * _BLOCK // 8, i >> 3  # a block of 512 bits lies within one frame
+        out = int(self._ranks[k][block])
+        if last > first:
+            out += int(np.bitwise_count(self._part(k, first // _FRAME)[first % _FRAME : first % _FRAME + last - first]).sum())
+        return out + (self._byte(k, last) >> (8 - (i & 7))).bit_count() if i & 7 else out
 
     def select(self, k: int, bit: int, j: int) -> int:
         """Place of the j-th (from 0) bit of that value in plane k."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self.rank1(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) > j:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        ranks = self._ranks[k]
+        # The directory narrows it down to one block of 512 bits.
+        before = ranks if bit else np.minimum(np.arange(len(ranks)) * _BLOCK, self.n) - ranks
+        block = int(np.searchsorted(before, j, side="right")) - 1
+        first = block * _BLOCK // 8
+        bits = np.unpackbits(self._part(k, first // _FRAME)[first % _FRAME : first % _FRAME + _BLOCK // 8])
+        places = np.flatnonzero(bits == bit)
+        return block * _BLOCK + int(places[j - int(before[block])])
 
     def access(self, i: int) -> int:
         out = 0
@@ -140,8 +159,8 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         row = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
-        for b, p in enumerate(reversed(self.planes)):
-            plane = np.unpackbits(p, count=self.n).astype(bool)
+        for b in range(self.bits):
+            plane = np.unpackbits(self.plane(self.bits - 1 - b), count=self.n).astype(bool)
             zeros, above = self.n - int(plane.sum()), np.empty_like(row)
             above[~plane] = row[:zeros]
             above[plane] = row[zeros:] | row.dtype.type(1 << b)

@@ -140,3 +140,15 @@ def test_cascade_ignores_order():
     names = list(quality.RULES)
     first = quality.cascade(s, names)
     assert (quality.cascade(s, names[::-1]) == first).all() and first[-1]
+
+
+def test_shard_of_several_frames():
+    r = np.random.default_rng(4)
+    tokens = r.integers(0, 40_000, 600_000).astype(np.uint32)
+    tokens[r.integers(0, len(tokens), 5000)] = 7
+    shard = wavelet.Shard(wavelet.pack([1], np.array([len(tokens)]), tokens))
+    assert [shard.access(i) for i in (0, 262_143, 262_144, 511, 512, 599_999)] == tokens[[0, 262_143, 262_144, 511, 512, 599_999]].tolist()
+    assert len(shard._open) < shard.bits * shard._each  # only what was touched is unpacked
+    want = np.flatnonzero(tokens == 7)
+    assert shard.count(7) == len(want) and shard.occurrences(7) == want.tolist() and shard.count(7, 1000, 300_000) == ((want >= 1000) & (want < 300_000)).sum()
+    assert (shard.tokens() == tokens).all()
