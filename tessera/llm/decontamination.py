@@ -32,7 +32,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import fresh_name, persist
+from .storage import fresh_name, persist, scratch
 
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 WINDOW, SUBSTITUTIONS, SPAN = 13, 2, 8
@@ -117,9 +117,10 @@ def _short(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) ->
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_mb: float = 64) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids, matched (most equal tokens in a
     window, null if clean) and short_item_ids of every row of ``docs``."""
-    links = _links(docs, benchmark, id_col, text_col, broadcast_mb)
+    with scratch(docs.sparkSession) as keep:
+        links = keep(_links(docs, benchmark, id_col, text_col, broadcast_mb), "links")
     found = links.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("matched").alias("matched")).withColumnRenamed("doc_id", "hit_id")
-    rows = docs.select(F.col(id_col).alias("doc_id")).join(persist(found, "found"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    rows = docs.select(F.col(id_col).alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     none = F.array().cast(found.schema["item_ids"].dataType)
     short, short_ids = _short(docs, benchmark, id_col, text_col), none
     if short is not None:
@@ -131,5 +132,6 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_mb: float = 64) -> DataFrame:
     """The rows of ``docs`` without a benchmark item, with all their columns."""
     # Written, so that its size is known before the texts would be shuffled to join it.
-    bad = persist(_links(docs, benchmark, id_col, text_col, broadcast_mb).select(F.col("doc_id").alias(fresh_name(docs, "bad_id"))).distinct(), "bad")
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(_links(docs, benchmark, id_col, text_col, broadcast_mb).select(F.col("doc_id").alias(fresh_name(docs, "bad_id"))).distinct(), "bad")
     return docs.join(bad, docs[id_col].eqNullSafe(bad[bad.columns[0]]), "left_anti")

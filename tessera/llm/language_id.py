@@ -7,12 +7,14 @@ counted for each language; what false positives add on average is taken off
 (a language whose column is filled to f answers f**k of foreign n-grams), and
 the language with the highest corrected count wins.
 
-Learnt from a bounded sample: about ``sample_rows`` rows a language, dealt by a
-hash of the text.  An n-gram belongs to the languages in which it is at least
-``share`` as frequent as where it is most frequent.
-
-Edge cases: a text that is null or without a letter is ``und`` with score 0;
-repeated rows give a row each; without a row to learn from every text is
+Learnt from a bounded sample: about ``sample_rows`` rows a language, taken by
+chance.  An n-gram that the sample has ``least`` times (4) in a language belongs to
+the languages in which it is at least ``share`` as frequent as where it is most
+frequent; each language keeps its ``most_grams`` (60,000) most frequent ones.  Both
+bound the filters, which every task holds, and nothing that is identified.
+
+Edge cases: a text that is null or without a letter is ``und`` with score 0; a
+very long text is counted whole, in a slice of its own; repeated rows give a row each; without a row to learn from every text is
 ``und``; equal counts go to the language first in order; other columns are
 ignored; null languages aren't learnt.
 """
@@ -115,10 +117,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", si
     taken = {r.lang: r.share for r in shares.collect()}
     if not taken:
         return Filters.build({}, sizes)
-    dealt = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) / 1e6
-    wanted = F.lit(False)
-    for lang, part in taken.items():
-        wanted = wanted | ((F.col("lang") == lang) & (dealt < part))
+    part = F.create_map(*[F.lit(x) for pair in taken.items() for x in pair])
+    wanted = F.rand(seed=7) < F.element_at(part, F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

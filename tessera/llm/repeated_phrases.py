@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import persist, release
+from .storage import persist, release, scratch
 from .textbatch import TextSlice, mix, slices
 
 WINDOW, GRAM = 13, 7
@@ -330,14 +330,23 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
     known = rows.where("doc_id is not null")
+    with scratch(docs.sparkSession) as keep:
+        lists = keep(_spans(known), "spans")
+    release(docs.sparkSession)
+    return _finished(rows, lists, texts)
+
+
+def _spans(known: DataFrame) -> DataFrame:
+    """d, c (doc_id and content) and the list of stretches of words to remove."""
     found = marks(known)
     digests = known.select("doc_id", "content", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     first = persist(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "firsts")
     later = digests.join(first, "digest").where("doc_id > first").select("doc_id", "content", F.lit(0).cast("long").alias("begin"), F.lit(1 << 60).alias("end"))
     lists = found.union(later).groupBy("doc_id", "content").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    lists = persist(lists.withColumnsRenamed({"doc_id": "d", "content": "c"}), "spans")
-    release(docs.sparkSession)
+    return lists.withColumnsRenamed({"doc_id": "d", "content": "c"})
+
 
+def _finished(rows: DataFrame, lists: DataFrame, texts: bool) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, s in slices(batch):

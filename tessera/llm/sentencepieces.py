@@ -11,7 +11,9 @@ a bounded memo.  Each Arrow batch of new segments is checked against the
 sentencepiece library, and so is the first whole text of every batch; a
 difference raises.
 
-Edge cases: null counts as an empty text, whose ids are begin and end; repeated
+Edge cases: null counts as an empty text, whose ids are begin and end; a very long
+text is encoded whole, in a batch of its own; pairs of equal score merge from the
+left; repeated
 rows give a row each; an empty table gives no rows; other columns are ignored.
 Characters without a piece become byte pieces.
 """

@@ -12,7 +12,8 @@ tokenizer provably never joins: for a byte-level pre-tokenizer, a text may be
 cut at a single space that stands between two characters that aren't white
 space.  Pieces that aren't known yet go to the library in one batch.
 
-Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows and
+Edge cases: a null or empty text has 0 bytes and 0 tokens; a very long text is
+encoded whole, in a batch of its own; repeated rows and
 repeated doc_ids each give a row; an empty table gives no rows; other columns
 than the id and the text are ignored.
 """
