@@ -12,8 +12,8 @@ detectors find there maps back to source spans.  A span so found is added
 unless it overlaps a base span of its kind; base spans always stay.
 
 Edge cases: null counts as an empty text without spans; a very long text is
-searched whole, in a slice of its own; spans of one kind that begin at one place
-keep the longer one, and base spans stay; repeated rows give a row each; an empty table gives no rows; other columns pass through ``redact``.
+searched whole, in a slice of its own; overlapping spans are all reported, and
+redacted as one stretch of the first kind; repeated rows give a row each; an empty table gives no rows; other columns pass through ``redact``.
 """
 
 from __future__ import annotations
