@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind, and n_chars counted again, where it
-    is there.  Of overlapping spans the first stays, of those the longest; null texts stay null."""
+    is there.  Overlapping spans are one stretch of the first kind; null texts stay null."""
     out = personal_data.redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(out.schema["n_chars"].dataType), "n_chars")) if "n_chars" in out.columns else out
 
