@@ -15,7 +15,7 @@ class Memo:
     """
 
     #: Bytes that an entry takes beside the characters of its key.
-    ENTRY = 220
+    ENTRY = 200
 
     def __init__(self, fill: Callable[[list[str]], Iterable[Any]], most: int = 96 << 20):
         self.fill, self.most, self.size = fill, most, 0
