@@ -50,7 +50,7 @@ class Agenda:
         self.unknown = sp.unk_id()
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.memo = Memo(self._fill, most=32 << 20)
+        self.memo = Memo(self._fill, most=64 << 20)
 
     def merge(self, segment: str) -> list[str]:
         """The pieces of a segment that already has its marks."""
@@ -131,7 +131,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         pa.default_memory_pool().release_unused()  # what the steps before left in this worker
         for batch in batches:
             checked = False
-            for part, s in slices(batch):
+            for part, s in slices(batch, most=2 << 20):
                 texts = s.texts.to_pylist()
                 raw = own.encode(texts)
                 lists = [np.frombuffer(x, "<u4").tolist() for x in raw]
