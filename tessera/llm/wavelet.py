@@ -27,6 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -160,7 +161,7 @@ class Shard:
     def tokens(self) -> np.ndarray:
         row = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for b in range(self.bits):
-            plane = np.unpackbits(self.plane(self.bits - 1 - b), count=self.n).astype(bool)
+            plane = np.unpackbits(self.plane(self.bits - 1 - b), count=self.n).view(bool)
             zeros, above = self.n - int(plane.sum()), np.empty_like(row)
             above[~plane] = row[:zeros]
             above[plane] = row[zeros:] | row.dtype.type(1 << b)
@@ -236,10 +237,22 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._library(texts)
-        parts = [t.split(" ") for t in texts]
-        self.words.learn(w for p in parts for w in p)
-        get = self.words.young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        # Arrow finds the distinct words, so Python touches each of them once a call.
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.words.learn(words)
+        found = list(map(self.words.young.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        begin = np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        sizes = size[word]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total) + np.repeat(begin[word] - (ends - sizes), sizes)
+        raw = np.frombuffer(b"".join(found), "<u4")[place].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[parts.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -275,7 +288,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, shard
             return row
 
         for batch in batches:
-            for rows, s in slices(batch, most=2 << 20):
+            for rows, s in slices(batch, most=8 << 20):
                 found = [x + end for x in encoder.encode(s.texts.to_pylist())]
                 for i, x in zip(rows.column(0).to_pylist(), found, strict=True):
                     ids.append(i)
