@@ -322,21 +322,29 @@ def _blocks(pairs: DataFrame) -> DataFrame:
     return turned.join(sizes, "hub").select(key.alias("key"), "a", "b")
 
 
-def _links(docs: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """Links (a, b) of groups (g, doc_id, n), as the module's text says."""
+def _links(docs: DataFrame, groups: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of groups (g, doc_id, n), as the module's text says, and
+    fewer links with the same components: those found last and the stars of the rest."""
+    spark = docs.sparkSession
     found = persist(_verified(docs, _stars(groups), shared), "links-a")
     roots = persist(components(found), "roots")
+    stars = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
     left = _open(groups, roots)
     if left.isEmpty():
-        return found
+        return found, stars
+    release(spark)
     prefixes = _prefixes(docs.join(left.select("doc_id").hint("merge"), "doc_id", "left_semi"), shared)
     pairs = _candidates(prefixes, roots)
     two = (F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("s"), F.pmod(F.xxhash64("a", "b"), F.lit(4)).alias("k"))
     best = pairs.groupBy(*two).agg(F.max_by(F.struct("a", "b", "ra", "rb", "wa", "wb"), F.struct("bound", "a", "b")).alias("x")).select("x.*").distinct()
-    found = persist(found.union(_verified(docs, _blocks(best), shared)), "links-b")
-    roots = persist(components(found), "roots")
+    more = persist(_verified(docs, _blocks(best), shared), "links-b")
+    release(spark)
+    roots = persist(components(stars.union(more)), "roots")
+    stars = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
     rest = _candidates(prefixes, roots).select("a", "b", "ra", "rb", "wa", "wb").distinct()
-    return persist(found.union(_verified(docs, _blocks(rest), shared)).distinct(), "links-c")
+    last = persist(_verified(docs, _blocks(rest), shared), "links-c")
+    release(spark)
+    return found.union(more).union(last), stars.union(last)
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,11 +386,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         # These doc_ids grow with the corpus, so the plan is the one for large tables at every size.
         texts = persist(known.join(groups.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
         release(spark)
-        links = _links(texts, groups, shared)
+        links, fewer = _links(texts, groups, shared)
         # A doc_id with several texts links their classes.
-        links = persist(links.union(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "all-links")
-        roots = keep(components(links), "roots")
-        ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
+        same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        roots = keep(components(fewer.union(same)), "roots")
+        ends = links.union(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
         ends = keep(ends, "ends")
     out = rows.select("doc_id").join(roots, rows.doc_id == roots.vertex, "left").join(ends, F.col("doc_id") == F.col("v"), "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import near_duplicates as nd
+from tessera.llm import near_duplicates as nd, storage
 from tessera.llm.components import components
 from tessera.llm.textbatch import TextSlice
 from tests.llm import edge
@@ -169,6 +169,18 @@ def test_components(spark):
     assert {tuple(x) for x in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Each round costs the driver memory; that which changes nothing isn't needed to know the end."""
+    rounds, whole = [], storage.persist
+    monkeypatch.setattr("tessera.llm.components.persist", lambda df, name: rounds.append(name) or whole(df, name))
+    stars = [(i, i - i % 10) for i in range(200)]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    assert {tuple(x) for x in components(frame(stars)).collect()} == set(stars)
+    assert not rounds
+    assert {tuple(x) for x in components(frame([*stars, (15, 27), (60, 193)])).collect()} == {(a, {20: 10, 190: 60}.get(b, b)) for a, b in stars}
+    assert 1 <= len(rounds) <= 2
+
+
 def test_template_families_below_the_threshold_end(spark, monkeypatch):
     """85 % of each text is shared, which is a similarity of 0.74: nothing links, and no pair is compared after the stars."""
     r = random.Random(9)
